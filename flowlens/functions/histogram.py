@@ -8,13 +8,10 @@ from flowlens.functions.numeric import log1p_safe
 from flowlens.schema import HISTOGRAM_SIZE, HISTOGRAM_UPPER_EDGES
 
 
-def bin_index(value: Column) -> Column:
-    """Bin of a size in bytes or a time in milliseconds."""
-    whole = F.floor(value)
-    ladder = F.when(whole <= HISTOGRAM_UPPER_EDGES[0], 0)
-    for index, edge in enumerate(HISTOGRAM_UPPER_EDGES[1:], start=1):
-        ladder = ladder.when(whole <= edge, index)
-    return ladder.otherwise(F.when(value.isNotNull(), len(HISTOGRAM_UPPER_EDGES)))
+def bin_index(value: str) -> Column:
+    """Bin of a column of sizes in bytes or times in milliseconds."""
+    steps = " ".join(f"WHEN floor({value}) <= {e} THEN {i}" for i, e in enumerate(HISTOGRAM_UPPER_EDGES))
+    return F.expr(f"CASE {steps} WHEN {value} IS NOT NULL THEN {len(HISTOGRAM_UPPER_EDGES)} END")
 
 
 def parse_histogram(text: Column) -> Column:

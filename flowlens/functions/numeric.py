@@ -10,8 +10,12 @@ def zero() -> Column:
 
 def number(value: Column) -> Column:
     """Value as double; NULL, NaN and text that is no number become 0."""
-    parsed = value.try_cast("double")
-    return F.when(F.isnan(parsed), zero()).otherwise(F.coalesce(parsed, zero()))
+    return F.coalesce(F.nanvl(value.try_cast("double"), zero()), zero())
+
+
+def number_sql(name: str, alias: str | None = None) -> str:
+    """`number` of a column as SQL text, for long select lists."""
+    return f"coalesce(nanvl(try_cast(`{name}` AS double), 0D), 0D) AS `{alias or name}`"
 
 
 def log1p_safe(value: Column) -> Column:

@@ -37,3 +37,8 @@ def lookup(df: DataFrame, table: DataFrame, column: str) -> DataFrame:
     """Left lookup in a side table on a shared column."""
     side, small = settle(table)
     return df.join(F.broadcast(side) if small else side, column, "left")
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Size of the table as the optimizer estimates it from file sizes."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -13,11 +13,13 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from flowlens.operators.joins import join_same
+from flowlens.operators.joins import input_bytes, join_same
 from flowlens.session import checkpointed
 
 ROWS_PER_TASK = 4_000_000
 MAX_HOT_KEYS = 50_000
+# An input this small is one task's work at most; its keys need no count.
+SMALL_INPUT_BYTES = 16 << 20
 RANGE = "_range"
 
 
@@ -42,6 +44,8 @@ class OrderedRows:
         rows_per_task: int = ROWS_PER_TASK,
     ) -> "OrderedRows":
         keys, order = list(keys), list(order)
+        if rows_per_task >= ROWS_PER_TASK and input_bytes(df) < SMALL_INPUT_BYTES:
+            return cls(df, None, keys, order)
         sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
         total, largest = sizes.agg(F.sum("_rows"), F.max("_rows")).first()
         if largest is None or largest <= rows_per_task:

@@ -80,18 +80,23 @@ def _sum_where(condition: Column, value: Column) -> Column:
     return F.sum(F.when(condition, value).otherwise(F.lit(0)))
 
 
+def with_bins(labelled: DataFrame) -> DataFrame:
+    """Histogram bins of every packet; the first packet of a flow has no time bin."""
+    return labelled.withColumns(
+        {
+            "_size_bin": bin_index("size"),
+            "_ipt_bin": F.when(F.col("position") > 0, bin_index("ipt")),
+        }
+    )
+
+
 def histogram_counts() -> dict[str, Column]:
-    """The four 8-bin histograms of a flow as arrays; times leave out the first packet."""
-    forward = F.col("direction") == 1
-    later = F.col("position") > 0
-    members = [forward, ~forward, forward & later, ~forward & later]
-    values = ["size", "size", "ipt", "ipt"]
+    """Aggregates over `with_bins` rows: the four 8-bin histograms of a flow as arrays."""
+    members = [(1, "_size_bin"), (-1, "_size_bin"), (1, "_ipt_bin"), (-1, "_ipt_bin")]
     result = {}
-    for name, member, value in zip(HISTOGRAM_NAMES, members, values):
-        index = bin_index(F.col(value))
-        result[name] = F.array(
-            *[_sum_where(member & (index == i), F.lit(1)) for i in range(HISTOGRAM_SIZE)]
-        )
+    for name, (sign, value) in zip(HISTOGRAM_NAMES, members):
+        counts = [f"count_if(direction = {sign} AND {value} = {i})" for i in range(HISTOGRAM_SIZE)]
+        result[name] = F.expr(f"array({', '.join(counts)})")
     return result
 
 
@@ -110,14 +115,14 @@ def assemble_flows(
     labelled: DataFrame,
     keys: Sequence[str],
     idle_us: int,
-    capture_end_us: int | None = None,
+    capture_end_us: Column | None = None,
     first: Sequence[str] = (),
     last: Sequence[str] = (),
     length: int = SEQUENCE_LENGTH,
 ) -> DataFrame:
     """One row per flow from `label_flows` rows.
 
-    `first` and `last` name columns taken from a flow's first and last packet. Every
+    `capture_end_us` is the time the capture stopped, a literal or a scalar subquery. `first` and `last` name columns taken from a flow's first and last packet. Every
     aggregate is combined before the shuffle, so long flows do not gather in one task.
     A flow ends idle when silence longer than the timeout follows, active when the next
     packet comes sooner, and otherwise (end of capture) for other reasons.
@@ -125,12 +130,9 @@ def assemble_flows(
     forward = F.col("direction") == 1
     inside = F.col("position") < length
     begins = F.col("position") == 0
-    pause = F.coalesce(F.col("_next_us"), F.lit(capture_end_us).cast("long")) - F.col("ts_us")
-    ending = F.max_by(
-        F.struct(pause.alias("pause"), F.col("_next_us").isNotNull().alias("more"), *last), "position"
-    )
+    ending = F.max_by(F.struct("_next_us", *last), "position")
     seconds = 1e6
-    flows = labelled.groupBy(*keys, "flow_no").agg(
+    flows = with_bins(labelled).groupBy(*keys, "flow_no").agg(
         F.count(F.lit(1)).alias("_packets"),
         _sum_where(forward, F.lit(1)).alias("PACKETS"),
         _sum_where(~forward, F.lit(1)).alias("PACKETS_REV"),
@@ -145,8 +147,10 @@ def assemble_flows(
         *[F.max(F.when(begins, F.col(c))).alias(c) for c in first],
         ending.alias("_end"),
     )
-    idle = F.coalesce(F.col("_end.pause") > idle_us, F.lit(False))
-    active = ~idle & F.col("_end.more")
+    stop = F.lit(None).cast("long") if capture_end_us is None else capture_end_us
+    silence = F.coalesce(F.col("_end._next_us"), stop) - F.col("last_us")
+    idle = F.coalesce(silence > idle_us, F.lit(False))
+    active = ~idle & F.col("_end._next_us").isNotNull()
     return flows.withColumns(
         {
             "DURATION": (F.col("last_us") - F.col("first_us")) / seconds,
@@ -245,14 +249,14 @@ def packet_stats(packets: DataFrame, keys: Sequence[str], values: Sequence[str]
 
 def flow_histograms(labelled: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The four packet histograms of every flow."""
-    return labelled.groupBy(*keys, "flow_no").agg(
+    return with_bins(labelled).groupBy(*keys, "flow_no").agg(
         *[column.alias(name) for name, column in histogram_counts().items()]
     )
 
 
 def bin_counts(packets: DataFrame, value: str) -> DataFrame:
     """Packets per histogram bin over the whole table."""
-    return packets.groupBy(bin_index(F.col(value)).alias("bin")).agg(F.count(F.lit(1)).alias("packets"))
+    return packets.groupBy(bin_index(value).alias("bin")).agg(F.count(F.lit(1)).alias("packets"))
 
 
 def last_packets(packets: DataFrame, rows: int = 20) -> DataFrame:

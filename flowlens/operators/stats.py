@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from flowlens.operators.encode import Dictionary
 from flowlens.operators.joins import join_same, settle
@@ -42,38 +42,33 @@ def sequence_stats(samples: DataFrame, channels: int = CHANNELS) -> DataFrame:
 
     Each row is folded to its own sums first; packets are never exploded.
     """
-
-    def real(i: int) -> Column:
-        return F.slice(F.get("sequences", F.lit(i)), 1, F.col("valid_length"))
-
-    sums = []
+    folded = []
     for i in range(channels):
-        sums.append(F.sum(F.aggregate(real(i), F.lit(0.0), lambda s, x: s + x)).alias(f"_s{i}"))
-        sums.append(F.sum(F.aggregate(real(i), F.lit(0.0), lambda s, x: s + x * x)).alias(f"_q{i}"))
-    totals = samples.agg(F.sum("valid_length").alias("_n"), *sums)
-    count = F.greatest(F.coalesce(F.col("_n"), F.lit(0)), F.lit(1)).cast("double")
-    rows = [_moments(i, F.col(f"_s{i}"), F.col(f"_q{i}"), count) for i in range(channels)]
-    return totals.select(F.inline(F.array(*rows)))
+        real = f"slice(sequences[{i}], 1, valid_length)"
+        folded.append(f"aggregate({real}, 0D, (s, x) -> s + x) AS v{i}")
+        folded.append(f"aggregate({real}, 0D, (s, x) -> s + x * x) AS q{i}")
+    rows = samples.selectExpr("valid_length", *folded)
+    sums = [f"sum({c}{i}) AS {c}{i}" for i in range(channels) for c in "vq"]
+    return _moments(rows.selectExpr("sum(valid_length) AS n", *sums), channels)
 
 
 def tabular_stats(samples: DataFrame, width: int) -> DataFrame:
     """Mean and population standard deviation of every tabular value, one row per position."""
-    at = [F.get("tabular", F.lit(i)) for i in range(width)]
-    totals = samples.agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[F.sum(x).alias(f"_s{i}") for i, x in enumerate(at)],
-        *[F.sum(x * x).alias(f"_q{i}") for i, x in enumerate(at)],
-    )
-    count = F.greatest(F.col("_n"), F.lit(1)).cast("double")
-    rows = [_moments(i, F.col(f"_s{i}"), F.col(f"_q{i}"), count) for i in range(width)]
-    return totals.select(F.inline(F.array(*rows)))
+    rows = samples.selectExpr(*[f"get(tabular, {i}) AS x{i}" for i in range(width)])
+    sums = [f"sum(x{i}) AS v{i}, sum(x{i} * x{i}) AS q{i}".split(", ") for i in range(width)]
+    return _moments(rows.selectExpr("count(1) AS n", *[s for pair in sums for s in pair]), width)
 
 
-def _moments(position: int, total: Column, squares: Column, count: Column) -> Column:
-    mean = F.coalesce(total, F.lit(0.0)) / count
-    variance = F.coalesce(squares, F.lit(0.0)) / count - mean * mean
+def _moments(totals: DataFrame, width: int) -> DataFrame:
+    """Means and deviations from one row of counts, sums v0.. and sums of squares q0.."""
+    long_form = totals.selectExpr(
+        "greatest(coalesce(n, 0), 1) AS n",
+        f"inline(array({', '.join(f'struct({i} AS position, v{i} AS v, q{i} AS q)' for i in range(width))}))",
+    )
+    mean = F.coalesce(F.col("v"), F.lit(0.0)) / F.col("n")
+    variance = F.coalesce(F.col("q"), F.lit(0.0)) / F.col("n") - mean * mean
     std = F.sqrt(F.greatest(variance, F.lit(MIN_VARIANCE)))
-    return F.struct(F.lit(position).alias("position"), mean.alias("mean"), std.alias("std"))
+    return long_form.select("position", mean.alias("mean"), std.alias("std"))
 
 
 class Normalization:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from flowlens.functions import times
 from flowlens.functions.histogram import fixed_bins, parse_histogram
-from flowlens.functions.numeric import balance, log1p_safe, number, per, smoothed_ratio
+from flowlens.functions.numeric import balance, log1p_safe, number_sql, per, smoothed_ratio
 from flowlens.operators.encode import Dictionary
 from flowlens.schema import (
     DERIVED_FEATURES,
@@ -31,7 +31,7 @@ def default_fill(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Columns as doubles; values that are no numbers become 0."""
-    return df.withColumns({c: number(F.col(c)) for c in columns})
+    return df.selectExpr(*[number_sql(c) if c in columns else f"`{c}`" for c in df.columns])
 
 
 def with_label(df: DataFrame, columns: Sequence[str], label: str = LABEL) -> DataFrame:
@@ -45,10 +45,13 @@ def expand_histograms(df: DataFrame) -> DataFrame:
     texts = {c: parse_histogram(F.col(c)) for c in present if _is_text(df, c)}
     parsed = df.withColumns(texts) if texts else df
     parsed = parsed.withColumns({c: fixed_bins(F.col(c)) for c in present}) if present else parsed
-    bins = {
-        f"{c}_BIN_{i}": number(F.get(F.col(c), F.lit(i))) for c in present for i in range(HISTOGRAM_SIZE)
-    }
-    return (parsed.withColumns(bins) if bins else parsed).drop(*present)
+    rest = [c for c in parsed.columns if c not in present]
+    bins = [
+        f"coalesce(nanvl(get(`{c}`, {i}), 0D), 0D) AS `{c}_BIN_{i}`"
+        for c in present
+        for i in range(HISTOGRAM_SIZE)
+    ]
+    return parsed.selectExpr(*[f"`{c}`" for c in rest], *bins)
 
 
 def volume_features() -> dict[str, Column]:
@@ -127,7 +130,7 @@ def feature_table(
 ) -> DataFrame:
     """Kept columns followed by the features in their fixed order, all as doubles."""
     filled = default_fill(engineer(df, versions), features)
-    return filled.select(*keep, *[number(F.col(c)).alias(c) for c in features if c not in keep])
+    return filled.selectExpr(*keep, *[number_sql(c) for c in features if c not in keep])
 
 
 def derived_only(df: DataFrame, names: Sequence[str], keep: Sequence[str]) -> DataFrame:

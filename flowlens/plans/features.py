@@ -200,7 +200,8 @@ def version_code(spark, sf):
 
 def _versions(spark, sf) -> Dictionary:
     """Version dictionary of the flows: versions of flow-opening packets."""
-    return Dictionary.fit(v.flows(spark, sf, text=False), "QUIC_VERSION", first=1)
+    opening = v.labelled(spark, sf).filter("position = 0")
+    return Dictionary.fit(opening.select(F.col("version").alias("QUIC_VERSION")), "QUIC_VERSION", first=1)
 
 
 _PLAIN = [c for c in FEATURE_COLUMNS if c not in _FEATURE_SQL and c != "QUIC_VERSION_CODE"]
@@ -390,9 +391,7 @@ def order_volumes(spark, sf):
 )
 def flow_histograms(spark, sf):
     counts = pk.flow_histograms(v.labelled(spark, sf), ["flow_key"])
-    return counts.select(
-        *KEY, *[F.get(h, F.lit(i)).alias(f"{h}_BIN_{i}") for h in HISTOGRAM_NAMES for i in range(8)]
-    )
+    return counts.selectExpr(*KEY, *[f"get({h}, {i}) AS {h}_BIN_{i}" for h in HISTOGRAM_NAMES for i in range(8)])
 
 
 @query(
@@ -464,8 +463,8 @@ def seq_tensor(spark, sf):
 def hist_log(spark, sf):
     parsed = sequences.parse_text_columns(v.flows(spark, sf).select(*KEY, *HISTOGRAM_NAMES))
     logs = parsed.withColumns({h: hist.log_bins(F.col(h)) for h in HISTOGRAM_NAMES})
-    return logs.select(
-        *KEY, *[r6(F.get(h, F.lit(i))).alias(f"{h}_BIN_{i}") for h in HISTOGRAM_NAMES for i in range(8)]
+    return logs.selectExpr(
+        *KEY, *[f"round(get({h}, {i}), 6) AS {h}_BIN_{i}" for h in HISTOGRAM_NAMES for i in range(8)]
     )
 
 
@@ -489,8 +488,8 @@ SEQ_VALUES_SQL = [
 def features_seq_tabular(spark, sf):
     parsed = sequences.parse_text_columns(v.flows(spark, sf))
     vectors = parsed.select("ID", sequences.tabular_vector().alias("tabular"))
-    return vectors.select(
-        "ID", *[r6(F.get("tabular", F.lit(i))).alias(f"t{i}") for i in range(sequences.TABULAR_WIDTH)]
+    return vectors.selectExpr(
+        "ID", *[f"round(get(tabular, {i}), 6) AS t{i}" for i in range(sequences.TABULAR_WIDTH)]
     )
 
 
@@ -533,7 +532,7 @@ def vec_conform(spark, sf):
 
 def _samples(spark, sf, keep=("ID",)):
     flows = v.flows(spark, sf)
-    labels = Dictionary.fit(v.flows(spark, sf, text=False), "APP")
+    labels = Dictionary.fit(flows, "APP")
     return sequences.samples(flows, labels, _versions(spark, sf), keep=keep)
 
 

@@ -36,7 +36,7 @@ def r6(value: Column) -> Column:
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: r6(F.col(c)) for c in columns})
+    return df.selectExpr(*[f"round(`{c}`, 6) AS `{c}`" if c in columns else f"`{c}`" for c in df.columns])
 
 
 def _bin(value: str) -> str:

@@ -21,8 +21,15 @@ FIRST = ["APP", "QUIC_VERSION", "SRC_IP", "DST_IP", "QUIC_USER_AGENT", "head_id"
 LAST = ["y_pred", "p_true"]
 
 
+# Declared layouts spare the footer scan that schema inference starts.
+LAYOUTS = {
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    reader = spark.read.schema(LAYOUTS[name]) if name in LAYOUTS else spark.read
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def events_to_packets(events: DataFrame) -> DataFrame:
@@ -67,13 +74,18 @@ def score_of(id_column: str) -> Column:
     return F.col(id_column) % SCORE_RANGE * SCORE_FACTOR % SCORE_RANGE
 
 
-def labelled(spark: SparkSession, sf_dir: str, active_us: int | None = ACTIVE_US) -> DataFrame:
-    return pk.label_flows(packets(spark, sf_dir), ["flow_key"], IDLE_US, active_us, UNIT_US)
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _label(packets(spark, sf_dir))
+
+
+def _label(rows: DataFrame) -> DataFrame:
+    return pk.label_flows(rows, ["flow_key"], IDLE_US, ACTIVE_US, UNIT_US)
 
 
 def flows(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:
     """Flow table; with `text` sequences, histograms and times are in their stored text form."""
-    rows = labelled(spark, sf_dir)
+    source = packets(spark, sf_dir)
+    rows = _label(source)
     user = F.col("flow_key")
     rows = rows.withColumns(
         {
@@ -87,8 +99,8 @@ def flows(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:
             "p_true": (F.col("size") % 97 + 1) / 100.0,
         }
     )
-    end = rows.sparkSession.read.parquet(f"{sf_dir}/events.parquet").agg(F.max("ts")).first()[0]
-    result = pk.assemble_flows(rows, ["flow_key"], IDLE_US, _micros(end), FIRST, LAST)
+    end = source.agg(F.max("ts_us")).scalar()
+    result = pk.assemble_flows(rows, ["flow_key"], IDLE_US, end, FIRST, LAST)
     result = result.withColumns(
         {
             "ID": F.concat_ws("-", "flow_key", "flow_no"),
@@ -113,15 +125,6 @@ def flows(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:
     )
 
 
-def _micros(end) -> int | None:
-    """Microseconds of a zone-less timestamp."""
-    if end is None:
-        return None
-    import datetime as dt
-
-    return (end - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1)
-
-
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """True label: first event type of a flow; predicted label: its last event type."""
     return flows(spark, sf_dir, text=False).filter(F.col("APP").isNotNull()).select(
