@@ -39,11 +39,11 @@ def is_weekend(ts: Column) -> Column:
 
 def day_from_path(path: Column) -> Column:
     """Day held in a daily file's name, e.g. flows-20221121.csv.gz."""
-    digits = F.regexp_extract(path, r"(\d{8})(?=\.(?:csv|parquet))", 1)
+    digits = F.regexp_extract(path, r"(\d{8})\.(?:csv|parquet)", 1)
     return F.try_to_timestamp(digits, F.lit("yyyyMMdd")).cast("date")
 
 
 def parquet_name(path: Column) -> Column:
-    """File name of the Parquet twin of a CSV file."""
-    name = F.element_at(F.split(path, "/"), -1)
-    return F.concat(F.regexp_replace(name, r"(\.csv)?(\.gz)?$|\.parquet$", ""), F.lit(".parquet"))
+    """Name of the Parquet twin of the CSV file (or folder of CSV parts) in a path."""
+    stem = F.regexp_extract(path, r"([^/=]+?)\.(?:csv|parquet)(?:\.gz)?(?:/|$)", 1)
+    return F.concat(stem, F.lit(".parquet"))

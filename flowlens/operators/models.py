@@ -14,7 +14,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowlens.operators import metrics
 from flowlens.operators.encode import Dictionary
@@ -97,7 +97,7 @@ def train_vectors(
     rows: DataFrame, classifier, vector: str = "inputs", label: str = LABEL
 ) -> PipelineModel:
     """Like `train` for rows that already hold one array of inputs."""
-    rows = rows.filter(F.col(label).isNotNull()).withColumn("features", array_to_vector(vector))
+    rows = as_vectors(rows.filter(F.col(label).isNotNull()), vector)
     indexer = StringIndexer(
         inputCol=label, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip"
     ).fit(rows)
@@ -105,6 +105,11 @@ def train_vectors(
     return Pipeline(stages=[indexer, classifier, decoder]).fit(rows)
 
 
+def as_vectors(rows: DataFrame, vector: str = "inputs") -> DataFrame:
+    """Array of inputs as the feature vector."""
+    return rows.withColumn("features", array_to_vector(vector))
+
+
 def scorer(model: PipelineModel) -> PipelineModel:
     """The model without its label stage, so unlabelled rows can be scored."""
     return PipelineModel([s for s in model.stages if not isinstance(s, StringIndexerModel)])
@@ -144,8 +149,6 @@ def select_best(candidates: dict, training: DataFrame, validation: DataFrame | N
 def feature_importance(model: PipelineModel, features: Sequence[str] = FEATURE_COLUMNS) -> DataFrame:
     """Importance of every feature of a fitted tree model, most important first."""
     tree = next(s for s in model.stages if hasattr(s, "featureImportances"))
-    from pyspark.sql import SparkSession
-
     rows = list(zip(features, [float(v) for v in tree.featureImportances.toArray()]))
     table = SparkSession.active().createDataFrame(rows, "feature string, importance double")
     return table.orderBy(F.col("importance").desc(), "feature")

@@ -1 +1,113 @@
-"""Placeholder."""
+"""Queries: model fits, scoring and evaluation on the flow features."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from flowlens.operators import metrics, models, sampling, scoring, sequences, stats, tabular
+from flowlens.operators.encode import Dictionary
+from flowlens.plans import views as v
+from flowlens.plans.registry import query, r6
+from flowlens.session import scratch_path
+from flowlens.sources.writers import write_features
+
+
+def _with_class(flows: DataFrame) -> DataFrame:
+    """Flows labelled by what their features can tell: main direction and length."""
+    main = F.when(F.col("BYTES") >= F.col("BYTES_REV"), "up").otherwise("down")
+    length = F.when(F.col("PACKETS") + F.col("PACKETS_REV") >= 6, "long").otherwise("short")
+    return flows.withColumn("APP", F.concat_ws("-", main, length))
+
+
+def _write(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The table written once with its split flag, as training and validation rows."""
+    split = sampling.stratified_split(table, "APP", "head_id", 0.2, score=v.score_of("head_id"))
+    written = write_features(split, scratch_path(table.sparkSession, "learn"), "v1", ["is_validation"])
+    return written.filter(~F.col("is_validation")), written.filter("is_validation")
+
+
+def features(spark, sf) -> tuple[DataFrame, DataFrame]:
+    table = tabular.feature_table(_with_class(v.flows(spark, sf)), None, keep=["ID", "head_id", "APP"])
+    return _write(table)
+
+
+def _summary(name: str, model, rows: DataFrame) -> DataFrame:
+    summary, _ = scoring.evaluate(model, rows)
+    return summary.select(F.lit(name).alias("model"), "rows", r6(F.col("accuracy")).alias("accuracy"),
+                          r6(F.col("macro_f1")).alias("macro_f1"))
+
+
+@query("model_dt")
+def model_dt(spark, sf):
+    train, valid = features(spark, sf)
+    return _summary("decision tree", models.train(train, models.decision_tree(min_rows=20, depth=10)), valid)
+
+
+@query("model_rf")
+def model_rf(spark, sf):
+    train, valid = features(spark, sf)
+    forest = models.random_forest(trees=20, depth=8)
+    return _summary("random forest", models.train(train, forest, balanced=True), valid)
+
+
+@query("model_rf_hist")
+def model_rf_hist(spark, sf):
+    train, valid = features(spark, sf)
+    return _summary("histogram forest", models.train(train, models.histogram_forest(trees=10, depth=8)), valid)
+
+
+@query("model_gbt_ovr")
+def model_gbt_ovr(spark, sf):
+    train, valid = features(spark, sf)
+    booster = models.boosting(rounds=3, depth=4, bins=32)
+    return _summary("boosting", models.train(train, booster), valid)
+
+
+def _network_rows(spark, sf) -> tuple[DataFrame, DataFrame, int]:
+    flows = _with_class(v.flows(spark, sf))
+    versions = Dictionary.fit(flows, "QUIC_VERSION", first=1)
+    samples = sequences.samples(flows, None, versions, keep=["ID", "head_id", "APP"])
+    train, valid = _write(samples)
+    normalization = stats.Normalization.fit(train, sequences.TABULAR_WIDTH)
+    known = versions.frame.count()
+    train, valid = (models.network_inputs(normalization.apply(part), known) for part in (train, valid))
+    return train, valid, models.network_width(known)
+
+
+@query("model_mlp")
+def model_mlp(spark, sf):
+    train, valid, width = _network_rows(spark, sf)
+    model = models.train_vectors(train, models.perceptron(width, 4, hidden=(16,), rounds=40))
+    scored = models.scorer(model).transform(models.as_vectors(valid))
+    return metrics.summary(scored.select(F.col("APP").alias("y_true"), "y_pred")).select(
+        F.lit("perceptron").alias("model"), "rows", r6(F.col("accuracy")).alias("accuracy"),
+        r6(F.col("macro_f1")).alias("macro_f1"),
+    )
+
+
+@query("score_batch")
+def score_batch(spark, sf):
+    train, valid = features(spark, sf)
+    model = models.train(train, models.decision_tree(min_rows=20, depth=8))
+    return scoring.score_with_truth(model, valid, keep=["ID"])
+
+
+@query("evaluate")
+def evaluate(spark, sf):
+    train, valid = features(spark, sf)
+    return scoring.evaluate(models.train(train, models.decision_tree(min_rows=20, depth=8)), valid)[1]
+
+
+@query("model_select")
+def model_select(spark, sf):
+    train, valid = features(spark, sf)
+    candidates = {f"depth-{d}": models.decision_tree(min_rows=20, depth=d) for d in (2, 6)}
+    return models.select_best(candidates, train, valid, models.train)[2]
+
+
+@query("feature_importance")
+def feature_importance(spark, sf):
+    train, _ = features(spark, sf)
+    return models.feature_importance(models.train(train, models.decision_tree(min_rows=20, depth=6)))
+
+

@@ -1 +1,124 @@
-"""Placeholder."""
+"""Queries: streams over the packet table, run to completion."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from flowlens.operators import models, packets as pk
+from flowlens.plans import learning, views as v
+from flowlens.plans.registry import query
+from flowlens.schema import SEQUENCE_LENGTH
+from flowlens.session import scratch_path
+from flowlens.streaming import packets as st
+
+DELAY = "1 hour"
+DELAY_US = v.HOUR_US
+SPLIT = "2024-01-16"
+
+
+def _packets(spark, sf):
+    events = st.read_stream(spark, sf, v.LAYOUTS["events"], pattern="events.parquet")
+    return v.events_to_packets(events)
+
+
+@query(
+    "st_packets",
+    "SELECT packet_id, src, dst, sport, dport FROM packets WHERE protocol = 17 AND 443 IN (sport, dport)",
+)
+def st_packets(spark, sf):
+    stream = pk.quic_packets(_packets(spark, sf)).select("packet_id", "src", "dst", "sport", "dport")
+    return st.run_once(stream)
+
+
+def _windows_sql(source: str) -> str:
+    return f"""
+    , held AS (SELECT * FROM {source}),
+    runs AS (SELECT *, row_number() OVER w - 1 AS nth, lag(ts_us) OVER w AS before_us
+             FROM held WINDOW w AS (PARTITION BY flow_key ORDER BY ts_us, packet_id)),
+    windows AS (
+      SELECT flow_key, nth // {SEQUENCE_LENGTH} AS window_no, count(*) AS n, min(ts_us) AS first_us,
+             max(ts_us) AS last_us, CAST(sum(size) AS DOUBLE) AS bytes,
+             CAST(sum(CASE WHEN nth % {SEQUENCE_LENGTH} = 0 THEN 0 ELSE (ts_us - before_us) // {v.UNIT_US} END) AS DOUBLE) AS pause
+      FROM runs GROUP BY flow_key, nth // {SEQUENCE_LENGTH})
+    SELECT flow_key, window_no, first_us, last_us, bytes, pause FROM windows WHERE n = {SEQUENCE_LENGTH}
+    """
+
+
+def _summarized(windows):
+    def total(i):
+        return F.aggregate(F.get("sequence", F.lit(i)), F.lit(0.0), lambda s, x: s + x)
+
+    return windows.select(
+        "flow_key", "window_no", "first_us", "last_us", total(2).alias("bytes"), total(0).alias("pause")
+    )
+
+
+@query("st_count_window", _windows_sql("packets"))
+def st_count_window(spark, sf):
+    return _summarized(st.run_once(st.count_windows(_packets(spark, sf), ["flow_key"], unit_us=v.UNIT_US)))
+
+
+@query("st_late", _windows_sql(f"(SELECT * EXCLUDE (prev_us) FROM gaps WHERE ts >= TIMESTAMP '{SPLIT}')"))
+def st_late(spark, sf):
+    """Recent packets first, then all older ones: those come too late and are dropped."""
+    folder, output, marks = (scratch_path(spark, name) for name in ("arrivals", "stream", "marks"))
+    events = v.table(spark, sf, "events")
+    recent = F.col("ts") >= F.lit(SPLIT).cast("timestamp_ntz")
+    for part in (events.filter(recent), events.filter(~recent)):
+        part.write.mode("append").parquet(folder)
+        arrivals = v.events_to_packets(st.read_stream(spark, folder, v.LAYOUTS["events"]))
+        windows = st.count_windows(
+            arrivals, ["flow_key"], unit_us=v.UNIT_US, delay=DELAY, idle_ms=v.IDLE_US // 1000
+        )
+        result = st.run_once(windows, output=output, marks=marks)
+    return _summarized(result)
+
+
+@query(
+    "st_sessions",
+    f"""
+    , idle_flows AS (SELECT *, sum(CASE WHEN idle_new THEN 1 ELSE 0 END) OVER
+                       (PARTITION BY flow_key ORDER BY ts_us, packet_id) AS session FROM opened)
+    SELECT flow_key, min(ts_us) AS first_us, max(ts_us) AS last_us,
+           count(*) FILTER (WHERE direction = 1) AS PACKETS, count(*) FILTER (WHERE direction = -1) AS PACKETS_REV,
+           CAST(coalesce(sum(size) FILTER (WHERE direction = 1), 0) AS BIGINT) AS BYTES,
+           CAST(coalesce(sum(size) FILTER (WHERE direction = -1), 0) AS BIGINT) AS BYTES_REV
+    FROM idle_flows GROUP BY flow_key, session
+    HAVING max(ts_us) + {v.IDLE_US} <= (SELECT max(ts_us) FROM packets) - {DELAY_US}
+    """,
+)
+def st_sessions(spark, sf):
+    return st.run_once(st.sessions(_packets(spark, sf), ["flow_key"], "24 hours", DELAY))
+
+
+@query("st_totals", "SELECT count(*) AS packets, CAST(sum(size) AS BIGINT) AS bytes FROM packets")
+def st_totals(spark, sf):
+    """Totals of a stream are rewritten after every micro-batch; the last version remains."""
+    output = scratch_path(spark, "totals")
+    st.run_batches(
+        st.packet_totals(_packets(spark, sf)),
+        lambda batch, _: batch.write.mode("overwrite").parquet(output),
+        mode="complete",
+    )
+    return spark.read.schema("packets long, bytes long").parquet(output)
+
+
+@query("st_replay", "SELECT ID, head_id, APP FROM flows WHERE APP IS NOT NULL")
+def st_replay(spark, sf):
+    flows = v.flows(spark, sf, text=False).filter(F.col("APP").isNotNull()).select("ID", "head_id", "APP")
+    path = scratch_path(spark, "replay")
+    st.write_replay(flows.withColumn("turn", v.score_of("head_id")), path, ["turn", "head_id"], files=4)
+    stream = st.read_stream(spark, path, "ID string, head_id long, APP string", files_per_trigger=1)
+    return st.run_once(stream)
+
+
+@query("st_score")
+def st_score(spark, sf):
+    train, valid = learning.features(spark, sf)
+    model = models.train(train, models.decision_tree(min_rows=20, depth=6))
+    path = scratch_path(spark, "requests")
+    valid.drop("is_validation").write.parquet(path)
+    stream = st.read_stream(spark, path, valid.drop("is_validation").schema)
+    return st.run_once(st.score_stream(model, stream, ["ID"]))
+
+

@@ -134,3 +134,17 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def service_map(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PROVIDERS, T.StructType.fromDDL("APP string, provider string"))
+
+
+def services(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled flows with a finer label, so that days differ in the labels they hold."""
+    return (
+        flows(spark, sf_dir, text=False)
+        .filter(F.col("APP").isNotNull())
+        .withColumns(
+            {
+                "SERVICE": F.concat_ws("-", "APP", "DST_ASN"),
+                "VERSION": F.col("QUIC_VERSION") * 100 + F.col("DST_ASN"),
+            }
+        )
+    )

@@ -18,15 +18,22 @@ def read_flow_csv(
     columns: Sequence[str] | None = None,
     schema=FLOW_SCHEMA,
     partitions: int | None = None,
+    keep_corrupt: bool = False,
 ) -> DataFrame:
-    """Daily CSV files, plain or gzip, with a declared schema.
+    """Daily CSV files, plain or gzip, with a declared schema (DDL text).
 
     A gzip file is read by one task; `partitions` spreads its rows for the work after it.
+    Fields that do not parse become NULL; `keep_corrupt` also keeps the text of such rows
+    in `_corrupt_record`.
     """
+    if keep_corrupt:
+        schema = f"{schema}, {CORRUPT} string"
+        columns = [*columns, CORRUPT] if columns else None
     rows = (
         spark.read.schema(schema)
         .option("header", True)
         .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", CORRUPT)
         .option("escape", '"')
         .csv(paths if isinstance(paths, str) else list(paths))
     )
@@ -92,9 +99,12 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST_SCHEMA).option("multiLine", True).json(path)
 
 
-def read_traces(spark: SparkSession, path: str) -> DataFrame:
-    """Trace rows; an empty list is an error."""
-    traces = spark.read.schema(TRACE_SCHEMA).option("multiLine", True).json(path)
+def read_traces(spark: SparkSession, path: str, as_list: bool = False) -> DataFrame:
+    """Trace rows, one JSON object per line, or one JSON list per file with `as_list`.
+
+    No traces at all is an error.
+    """
+    traces = spark.read.schema(TRACE_SCHEMA).option("multiLine", as_list).json(path)
     if traces.isEmpty():
         raise ValueError(f"no traces in {path}")
     return traces

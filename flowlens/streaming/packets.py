@@ -9,7 +9,6 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from flowlens.operators.models import scorer
 from flowlens.operators.scoring import score
 from flowlens.schema import SEQUENCE_LENGTH
 from flowlens.session import scratch_path
@@ -18,7 +17,7 @@ from flowlens.session import scratch_path
 def read_stream(
     spark: SparkSession,
     path: str,
-    schema: T.StructType,
+    schema: T.StructType | str,
     pattern: str | None = None,
     files_per_trigger: int | None = None,
 ) -> DataFrame:
@@ -31,13 +30,17 @@ def read_stream(
     return reader.parquet(path)
 
 
-def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Process everything available into a Parquet table and return that table."""
+def run_once(stream: DataFrame, output: str | None = None, marks: str | None = None) -> DataFrame:
+    """Append everything available to a Parquet table and return that table.
+
+    Calls with the same `output` and `marks` continue where the last one stopped.
+    """
     spark = stream.sparkSession
-    output, marks = scratch_path(spark, "stream"), scratch_path(spark, "marks")
+    output = output or scratch_path(spark, "stream")
+    marks = marks or scratch_path(spark, "marks")
     query = (
         stream.writeStream.format("parquet")
-        .outputMode(mode)
+        .outputMode("append")
         .option("checkpointLocation", marks)
         .trigger(availableNow=True)
         .start(output)
@@ -46,10 +49,11 @@ def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(output)
 
 
-def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None]) -> None:
+def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], mode: str = "append") -> None:
     """Hand every available micro-batch to `handle`."""
     query = (
         stream.writeStream.foreachBatch(handle)
+        .outputMode(mode)
         .option("checkpointLocation", scratch_path(stream.sparkSession, "marks"))
         .trigger(availableNow=True)
         .start()
@@ -151,7 +155,7 @@ def packet_totals(packets: DataFrame) -> DataFrame:
 
 def score_stream(model: PipelineModel, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Predictions for a stream of feature rows."""
-    return score(scorer(model), rows, keep)
+    return score(model, rows, keep)
 
 
 def write_replay(traces: DataFrame, path: str, order: Sequence, files: int) -> None:
