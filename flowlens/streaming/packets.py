@@ -67,7 +67,7 @@ class _CountWindow:
     The state never holds more than one unfinished window.
     """
 
-    def __init__(self, keys: int, length: int, unit_us: int, idle_ms: int | None):
+    def __init__(self, keys: list[str], length: int, unit_us: int, idle_ms: int | None):
         self.keys, self.length, self.unit_us, self.idle_ms = keys, length, unit_us, idle_ms
 
     def __call__(self, key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -94,8 +94,7 @@ class _CountWindow:
         if self.idle_ms is not None:
             seen = int(arrived["ts_us"].max() // 1000)
             state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs()) + self.idle_ms)
-        names = [f"k{i}" for i in range(self.keys)]
-        yield pd.DataFrame(rows, columns=[*names, "window_no", "first_us", "last_us", "sequence"])
+        yield pd.DataFrame(rows, columns=[*self.keys, "window_no", "first_us", "last_us", "sequence"])
 
 
 def count_windows(
@@ -125,7 +124,7 @@ def count_windows(
     )
     state = T.StructType.fromDDL("count long, times array<long>, directions array<long>, sizes array<long>")
     timed = delay is not None and idle_ms is not None
-    step = _CountWindow(len(fields), length, unit_us, idle_ms if timed else None)
+    step = _CountWindow(list(keys), length, unit_us, idle_ms if timed else None)
     timeout = GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout
     return rows.groupBy(*keys).applyInPandasWithState(step, output, state, "append", timeout)
 
