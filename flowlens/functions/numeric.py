@@ -20,7 +20,8 @@ def number_sql(name: str, alias: str | None = None) -> str:
 
 def log1p_safe(value: Column) -> Column:
     """ln(1 + x) with NULL and negative values taken as 0."""
-    return F.log1p(F.greatest(F.coalesce(value, zero()), zero()))
+    # greatest skips NULL.
+    return F.log1p(F.greatest(value, zero()))
 
 
 def per(amount: Column, base: Column) -> Column:

@@ -19,9 +19,12 @@ def channel(ppi: Column, index: int) -> Column:
 
 def pad(values: Column, length: int = SEQUENCE_LENGTH) -> Column:
     """Cut to `length` or fill up with zeros; a NULL list is all zeros."""
+    return F.transform(_stretch(values, length), lambda x: F.coalesce(x, zero()))
+
+
+def _stretch(values: Column, length: int) -> Column:
     filler = F.array_repeat(zero(), length)
-    known = F.transform(F.coalesce(values, filler), lambda x: F.coalesce(x, zero()))
-    return F.slice(F.concat(known, filler), 1, length)
+    return F.slice(F.concat(F.coalesce(values, filler), filler), 1, length)
 
 
 def log_times(values: Column) -> Column:
@@ -31,7 +34,7 @@ def log_times(values: Column) -> Column:
 def tensor(ppi: Column, length: int = SEQUENCE_LENGTH) -> Column:
     """Three channels of equal length: log time, direction, size."""
     return F.array(
-        log_times(pad(channel(ppi, 0), length)),
+        log_times(_stretch(channel(ppi, 0), length)),
         pad(channel(ppi, 1), length),
         pad(channel(ppi, 2), length),
     )
@@ -39,7 +42,7 @@ def tensor(ppi: Column, length: int = SEQUENCE_LENGTH) -> Column:
 
 def valid_length(ppi: Column, length: int = SEQUENCE_LENGTH) -> Column:
     """Number of real packets in the padded sequence."""
-    return F.coalesce(F.least(F.size(channel(ppi, 0)), F.lit(length)), F.lit(0))
+    return F.least(ppi_length(ppi), F.lit(length))
 
 
 def ppi_length(ppi: Column) -> Column:

@@ -213,38 +213,25 @@ def count_windows(
 def packet_stats(packets: DataFrame, keys: Sequence[str], values: Sequence[str] = ("size", "ipt")) -> DataFrame:
     """Count, total, mean, median, standard deviation, minimum and maximum per key.
 
-    Values are whole bytes or time units. Rows are first counted per distinct value of
-    each measure, so even a huge key brings only its distinct values to the final step.
+    Values are whole bytes or time units. The median keeps one counter per distinct value
+    and is combined before the shuffle, so a huge key stays within the range of its values.
     """
-    long_form = packets.select(*keys, "direction", *values).unpivot(
-        [*keys, "direction"], list(values), "_measure", "_value"
-    )
-    counted = long_form.groupBy(*keys, "direction", "_measure", "_value").agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    first = F.col("_measure") == values[0]
     forward = F.col("direction") == 1
-    weight = F.col("_n")
     columns = [
-        _sum_where(first, weight).alias("packets"),
-        _sum_where(first & forward, weight).alias("packets_fwd"),
-        _sum_where(first & ~forward, weight).alias("packets_rev"),
+        F.count(F.lit(1)).alias("packets"),
+        F.count_if(forward).alias("packets_fwd"),
+        F.count_if(~forward).alias("packets_rev"),
     ]
     for value in values:
-        mine = F.col("_measure") == value
-        x = F.when(mine, F.col("_value").cast("double"))
-        n = _sum_where(mine, weight)
-        total, squares = F.sum(x * weight), F.sum(x * x * weight)
-        variance = F.try_divide(squares - F.try_divide(total * total, n), n - 1)
         columns += [
-            total.cast("long").alias(f"{value}_total"),
-            F.try_divide(total, n).alias(f"{value}_mean"),
-            F.percentile(x, F.lit(0.5), weight).alias(f"{value}_median"),
-            F.sqrt(F.greatest(variance, F.lit(0.0) * variance)).alias(f"{value}_std"),
-            F.min(F.when(mine, F.col("_value"))).alias(f"{value}_min"),
-            F.max(F.when(mine, F.col("_value"))).alias(f"{value}_max"),
+            F.sum(value).alias(f"{value}_total"),
+            F.avg(value).alias(f"{value}_mean"),
+            F.median(value).alias(f"{value}_median"),
+            F.stddev_samp(value).alias(f"{value}_std"),
+            F.min(value).alias(f"{value}_min"),
+            F.max(value).alias(f"{value}_max"),
         ]
-    return counted.groupBy(*keys).agg(*columns)
+    return packets.groupBy(*keys).agg(*columns)
 
 
 def flow_histograms(labelled: DataFrame, keys: Sequence[str]) -> DataFrame:

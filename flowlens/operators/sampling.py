@@ -36,9 +36,11 @@ def _cuts(df: DataFrame, groups: list[str], score: Column, tie: str, quota: Colu
     border = reached.filter(
         (F.col("_upto") >= F.col("_quota")) & (F.col("_upto") - F.col("_n") < F.col("_quota"))
     ).select(*groups, "_bucket", (F.col("_quota") - F.col("_upto") + F.col("_n")).alias("_need"))
+    # One row per group; known beforehand, so that only rows of border buckets move.
+    border, small = settle(border)
     rank = F.row_number().over(whole.orderBy("_score", "_tie"))
     return (
-        join_same(narrow, border, [*groups, "_bucket"], "inner")
+        join_same(narrow, border, [*groups, "_bucket"], "inner", small=small)
         .withColumn("_rank", rank)
         .filter(F.col("_rank") == F.col("_need"))
         .select(*groups, F.struct("_score", "_tie").alias("_cut"))

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from flowlens.functions.sequence import conform, has_shape
 from flowlens.operators import metrics
-from flowlens.operators.models import scorer
+from flowlens.operators.models import as_vectors, network_inputs, scorer
+from flowlens.operators.stats import Normalization
 from flowlens.schema import LABEL, SEQUENCE_LENGTH
 
 # Fixed value: label shown for requests that cannot be scored.
@@ -60,6 +61,27 @@ def score_with_truth(model: PipelineModel, rows: DataFrame, label: str = LABEL,
     )
 
 
+def score_requests(
+    model: PipelineModel,
+    requests: DataFrame,
+    normalization: Normalization,
+    versions: int,
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """Label and confidence of sample requests; malformed ones become error rows.
+
+    Requests are checked, brought to the trained width, normalized and scored in one
+    pass; `versions` is the number of versions known in training.
+    """
+    width = len(normalization.tab_mean)
+    good, bad = split_requests(requests.select(*keep, *REQUEST_COLUMNS))
+    inputs = network_inputs(normalization.apply(conform_tabular(good, width)), versions)
+    scored = score(model, as_vectors(inputs), keep=keep).withColumnRenamed("y_pred", "label")
+    return scored.withColumn("error", F.lit(None).cast("string")).unionByName(
+        bad.select(*keep, "label", F.lit(None).cast("double").alias("confidence"), "error")
+    )
+
+
 def evaluate(model: PipelineModel, rows: DataFrame, label: str = LABEL) -> tuple[DataFrame, DataFrame]:
     """Summary row and per-class report of a model on labelled rows."""
     known = rows.filter(F.col(label).isNotNull())

@@ -37,38 +37,53 @@ def with_class_weight(df: DataFrame, weights: DataFrame, label: str) -> DataFram
     return join_same(df, side, [label], "inner", small=small)
 
 
+def _sequence_sums(channels: int) -> tuple[list[str], list[str]]:
+    """Per-row folds of the real packets of each channel, and the sums over all rows."""
+    folds, sums = ["valid_length"], ["sum(valid_length) AS sn"]
+    for i in range(channels):
+        real = f"slice(sequences[{i}], 1, valid_length)"
+        folds.append(f"aggregate({real}, 0D, (s, x) -> s + x) AS sv{i}")
+        folds.append(f"aggregate({real}, 0D, (s, x) -> s + x * x) AS sq{i}")
+        sums += [f"sum(sv{i}) AS sv{i}", f"sum(sq{i}) AS sq{i}"]
+    return folds, sums
+
+
+def _tabular_sums(width: int) -> tuple[list[str], list[str]]:
+    values = [f"get(tabular, {i}) AS x{i}" for i in range(width)]
+    sums = ["count(1) AS tn"]
+    for i in range(width):
+        sums += [f"sum(x{i}) AS tv{i}", f"sum(x{i} * x{i}) AS tq{i}"]
+    return values, sums
+
+
+def _moments(totals: DataFrame, parts: dict[str, int]) -> DataFrame:
+    """Means and deviations from one row of sums; `parts` gives the values per prefix."""
+    entries = [
+        f"struct('{p}' AS part, {i} AS position, {p}n AS n, {p}v{i} AS v, {p}q{i} AS q)"
+        for p, width in parts.items()
+        for i in range(width)
+    ]
+    long_form = totals.selectExpr(f"inline(array({', '.join(entries)}))")
+    count = F.greatest(F.col("n"), F.lit(1))
+    mean = F.coalesce(F.col("v"), F.lit(0.0)) / count
+    variance = F.coalesce(F.col("q"), F.lit(0.0)) / count - mean * mean
+    std = F.sqrt(F.greatest(variance, F.lit(MIN_VARIANCE)))
+    return long_form.select("part", "position", mean.alias("mean"), std.alias("std"))
+
+
 def sequence_stats(samples: DataFrame, channels: int = CHANNELS) -> DataFrame:
     """Mean and standard deviation per channel over real packets only, one row per channel.
 
     Each row is folded to its own sums first; packets are never exploded.
     """
-    folded = []
-    for i in range(channels):
-        real = f"slice(sequences[{i}], 1, valid_length)"
-        folded.append(f"aggregate({real}, 0D, (s, x) -> s + x) AS v{i}")
-        folded.append(f"aggregate({real}, 0D, (s, x) -> s + x * x) AS q{i}")
-    rows = samples.selectExpr("valid_length", *folded)
-    sums = [f"sum({c}{i}) AS {c}{i}" for i in range(channels) for c in "vq"]
-    return _moments(rows.selectExpr("sum(valid_length) AS n", *sums), channels)
+    folds, sums = _sequence_sums(channels)
+    return _moments(samples.selectExpr(*folds).selectExpr(*sums), {"s": channels}).drop("part")
 
 
 def tabular_stats(samples: DataFrame, width: int) -> DataFrame:
     """Mean and population standard deviation of every tabular value, one row per position."""
-    rows = samples.selectExpr(*[f"get(tabular, {i}) AS x{i}" for i in range(width)])
-    sums = [f"sum(x{i}) AS v{i}, sum(x{i} * x{i}) AS q{i}".split(", ") for i in range(width)]
-    return _moments(rows.selectExpr("count(1) AS n", *[s for pair in sums for s in pair]), width)
-
-
-def _moments(totals: DataFrame, width: int) -> DataFrame:
-    """Means and deviations from one row of counts, sums v0.. and sums of squares q0.."""
-    long_form = totals.selectExpr(
-        "greatest(coalesce(n, 0), 1) AS n",
-        f"inline(array({', '.join(f'struct({i} AS position, v{i} AS v, q{i} AS q)' for i in range(width))}))",
-    )
-    mean = F.coalesce(F.col("v"), F.lit(0.0)) / F.col("n")
-    variance = F.coalesce(F.col("q"), F.lit(0.0)) / F.col("n") - mean * mean
-    std = F.sqrt(F.greatest(variance, F.lit(MIN_VARIANCE)))
-    return long_form.select("position", mean.alias("mean"), std.alias("std"))
+    values, sums = _tabular_sums(width)
+    return _moments(samples.selectExpr(*values).selectExpr(*sums), {"t": width}).drop("part")
 
 
 class Normalization:
@@ -79,15 +94,25 @@ class Normalization:
         self.tab_mean, self.tab_std = tab_mean, tab_std
 
     @classmethod
-    def fit(cls, samples: DataFrame, width: int) -> "Normalization":
-        sequence = sequence_stats(samples).orderBy("position").collect()
-        tabular = tabular_stats(samples, width).orderBy("position").collect()
-        return cls(
-            [r["mean"] for r in sequence],
-            [r["std"] for r in sequence],
-            [r["mean"] for r in tabular],
-            [r["std"] for r in tabular],
-        )
+    def fit(cls, samples: DataFrame, width: int, channels: int = CHANNELS) -> "Normalization":
+        """Both kinds of statistics in one pass over the samples."""
+        folds, sequence_sums = _sequence_sums(channels)
+        values, tabular_sums = _tabular_sums(width)
+        totals = samples.selectExpr(*folds, *values).selectExpr(*sequence_sums, *tabular_sums)
+        rows = _moments(totals, {"s": channels, "t": width}).orderBy("part", "position").collect()
+
+        def listed(part: str, field: str) -> list:
+            return [r[field] for r in rows if r["part"] == part]
+
+        return cls(listed("s", "mean"), listed("s", "std"), listed("t", "mean"), listed("t", "std"))
+
+    @classmethod
+    def of_manifest(cls, manifest: DataFrame) -> "Normalization":
+        """Statistics saved in a one-row split manifest."""
+        saved = manifest.select("normalization.*").first()
+        if saved is None or saved["seq_mean"] is None:
+            raise ValueError("the manifest holds no normalization statistics")
+        return cls(saved["seq_mean"], saved["seq_std"], saved["tab_mean"], saved["tab_std"])
 
     def apply(self, samples: DataFrame) -> DataFrame:
         """Z-scores of sequences and tabular values; padding is shifted like real packets."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from flowlens.operators import metrics, models, sampling, scoring, sequences, stats, tabular
+from flowlens.operators import models, sampling, scoring, sequences, stats, tabular
 from flowlens.operators.encode import Dictionary
 from flowlens.plans import views as v
 from flowlens.plans.registry import query, r6
@@ -63,26 +63,32 @@ def model_gbt_ovr(spark, sf):
     return _summary("boosting", models.train(train, booster), valid)
 
 
-def _network_rows(spark, sf) -> tuple[DataFrame, DataFrame, int]:
+def _network(spark, sf):
+    """Trained network with all that scoring needs, and its validation samples."""
     flows = _with_class(v.flows(spark, sf))
     versions = Dictionary.fit(flows, "QUIC_VERSION", first=1)
     samples = sequences.samples(flows, None, versions, keep=["ID", "head_id", "APP"])
     train, valid = _write(samples)
     normalization = stats.Normalization.fit(train, sequences.TABULAR_WIDTH)
     known = versions.frame.count()
-    train, valid = (models.network_inputs(normalization.apply(part), known) for part in (train, valid))
-    return train, valid, models.network_width(known)
+    inputs = models.network_inputs(normalization.apply(train), known)
+    network = models.perceptron(models.network_width(known), 4, hidden=(16,), rounds=40)
+    return models.train_vectors(inputs, network), normalization, known, valid
 
 
 @query("model_mlp")
 def model_mlp(spark, sf):
-    train, valid, width = _network_rows(spark, sf)
-    model = models.train_vectors(train, models.perceptron(width, 4, hidden=(16,), rounds=40))
-    scored = models.scorer(model).transform(models.as_vectors(valid))
-    return metrics.summary(scored.select(F.col("APP").alias("y_true"), "y_pred")).select(
-        F.lit("perceptron").alias("model"), "rows", r6(F.col("accuracy")).alias("accuracy"),
-        r6(F.col("macro_f1")).alias("macro_f1"),
-    )
+    model, normalization, known, valid = _network(spark, sf)
+    inputs = models.as_vectors(models.network_inputs(normalization.apply(valid), known))
+    return _summary("perceptron", model, inputs)
+
+
+@query("score_requests")
+def score_requests(spark, sf):
+    model, normalization, known, valid = _network(spark, sf)
+    broken = F.when(F.col("head_id") % 11 == 0, F.slice("sequences", 1, 2)).otherwise(F.col("sequences"))
+    requests = valid.withColumn("sequences", broken)
+    return scoring.score_requests(model, requests, normalization, known, keep=["ID"])
 
 
 @query("score_batch")

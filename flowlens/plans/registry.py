@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowlens.plans import views as v
 from flowlens.schema import HISTOGRAM_NAMES, HISTOGRAM_UPPER_EDGES, SEQUENCE_LENGTH
+from flowlens.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -19,8 +20,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
     def register(function: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return function(spark, sf_dir)
+            return function(tune(spark), sf_dir)
 
         run.__name__ = name
         QUERIES[name] = run

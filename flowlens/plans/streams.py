@@ -107,7 +107,7 @@ def st_totals(spark, sf):
 def st_replay(spark, sf):
     flows = v.flows(spark, sf, text=False).filter(F.col("APP").isNotNull()).select("ID", "head_id", "APP")
     path = scratch_path(spark, "replay")
-    st.write_replay(flows.withColumn("turn", v.score_of("head_id")), path, ["turn", "head_id"], files=4)
+    st.write_replay(flows, path, "head_id", files=4)
     stream = st.read_stream(spark, path, "ID string, head_id long, APP string", files_per_trigger=1)
     return st.run_once(stream)
 

@@ -17,8 +17,9 @@ PROVIDERS = [("click", "north"), ("view", "north"), ("signup", "south"), ("purch
 SCORE_RANGE = 4294967296
 SCORE_FACTOR = 1103515245
 
-FIRST = ["APP", "QUIC_VERSION", "SRC_IP", "DST_IP", "QUIC_USER_AGENT", "head_id"]
-LAST = ["y_pred", "p_true"]
+# Columns of a flow's first and last packet.
+FIRST = ["first_type", "QUIC_VERSION", "k", "head_id"]
+LAST = ["y_pred", "last_size"]
 
 
 # Declared layouts spare the footer scan that schema inference starts.
@@ -89,26 +90,29 @@ def flows(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:
     user = F.col("flow_key")
     rows = rows.withColumns(
         {
-            "APP": F.when(user % 37 != 0, F.col("event_type")),
+            "first_type": F.col("event_type"),
             "QUIC_VERSION": F.col("version"),
-            "SRC_IP": F.concat(F.lit("10.0.0."), user),
-            "DST_IP": F.concat(F.lit("192.0.2."), F.col("k") % 8),
-            "QUIC_USER_AGENT": F.when(F.col("k") % 3 == 0, F.concat(F.lit("agent-"), F.col("k") % 5)),
             "head_id": F.col("packet_id"),
             "y_pred": F.col("event_type"),
-            "p_true": (F.col("size") % 97 + 1) / 100.0,
+            "last_size": F.col("size"),
         }
     )
     end = source.agg(F.max("ts_us")).scalar()
     result = pk.assemble_flows(rows, ["flow_key"], IDLE_US, end, FIRST, LAST)
+    app = F.when(user % 37 != 0, F.col("first_type"))
     result = result.withColumns(
         {
             "ID": F.concat_ws("-", "flow_key", "flow_no"),
+            "APP": app,
+            "SRC_IP": F.concat(F.lit("10.0.0."), user),
+            "DST_IP": F.concat(F.lit("192.0.2."), F.col("k") % 8),
+            "QUIC_USER_AGENT": F.when(F.col("k") % 3 == 0, F.concat(F.lit("agent-"), F.col("k") % 5)),
+            "p_true": (F.col("last_size") % 97 + 1) / 100.0,
             "DST_ASN": (user % 16).cast("int"),
             "SRC_PORT": (user + 1024).cast("int"),
             "DST_PORT": F.lit(443),
             "PROTOCOL": F.lit(17),
-            "CATEGORY": F.when(F.col("APP").isin(FORWARD_TYPES), "interactive").otherwise("transfer"),
+            "CATEGORY": F.when(app.isin(FORWARD_TYPES), "interactive").otherwise("transfer"),
             "day": F.to_date("TIME_FIRST"),
         }
     )

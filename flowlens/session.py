@@ -8,10 +8,29 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+# Settings that may change while a session runs.
+RUNTIME = {
+    # Flow times carry no zone.
+    "spark.sql.session.timeZone": "UTC",
+    # The JVM never compiles methods above 8000 bytes; wide feature projections would run
+    # interpreted, so let Spark split them instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Flow aggregates hold a few kilobytes each: keep thousands hashed before sorting.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
+}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the runtime settings to a session made elsewhere."""
+    for key, value in RUNTIME.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def build_session(name: str = "flowlens", master: str | None = None, **conf) -> SparkSession:
     """A session with adaptive execution and UTC clocks; `conf` overrides any setting."""
     settings = {
-        "spark.sql.session.timeZone": "UTC",
+        **RUNTIME,
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",

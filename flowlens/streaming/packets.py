@@ -7,8 +7,10 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from flowlens.functions.numeric import hash32
 from flowlens.operators.scoring import score
 from flowlens.schema import SEQUENCE_LENGTH
 from flowlens.session import scratch_path
@@ -157,9 +159,25 @@ def score_stream(model: PipelineModel, rows: DataFrame, keep: Sequence[str]) ->
     return score(model, rows, keep)
 
 
-def write_replay(traces: DataFrame, path: str, order: Sequence, files: int) -> None:
-    """Lay traces out as files in the given order, ready for a paced replay.
+def write_replay(traces: DataFrame, path: str, id_column: str, files: int, epochs: int = 1, seed: int = 42) -> None:
+    """Deal traces to `files` files in a random but repeatable way, once per epoch.
 
-    File names ascend with the order and a stream reads older files first.
+    A stream that takes one file per trigger then replays them, each epoch shuffled anew.
     """
-    traces.repartitionByRange(files, *order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+    for epoch in range(epochs):
+        place = hash32(F.col(id_column), seed=seed + epoch)
+        dealt = traces.withColumn("_place", place).repartitionByRange(files, "_place", id_column)
+        dealt.sortWithinPartitions("_place", id_column).drop("_place").write.mode("append").parquet(path)
+
+
+def run_paced(
+    stream: DataFrame, handle: Callable[[DataFrame, int], None], seconds: float, marks: str | None = None
+) -> StreamingQuery:
+    """Start handing over one micro-batch every `seconds`; the caller stops the query."""
+    marks = marks or scratch_path(stream.sparkSession, "marks")
+    return (
+        stream.writeStream.foreachBatch(handle)
+        .option("checkpointLocation", marks)
+        .trigger(processingTime=f"{int(seconds * 1000)} milliseconds")
+        .start()
+    )
