@@ -30,17 +30,21 @@ def st_packets(spark, sf):
     return st.run_once(stream)
 
 
-def _windows_sql(source: str) -> str:
+def _windows_sql(source: str, idle_us: int | None = None) -> str:
+    """Full windows of a packet table; a silence longer than `idle_us` starts over."""
+    restart = f"before_us IS NULL OR ts_us - before_us > {idle_us}" if idle_us else "before_us IS NULL"
     return f"""
-    , held AS (SELECT * FROM {source}),
-    runs AS (SELECT *, row_number() OVER w - 1 AS nth, lag(ts_us) OVER w AS before_us
-             FROM held WINDOW w AS (PARTITION BY flow_key ORDER BY ts_us, packet_id)),
+    , held AS (SELECT *, lag(ts_us) OVER (PARTITION BY flow_key ORDER BY ts_us, packet_id) AS before_us FROM {source}),
+    spells AS (SELECT *, sum(CASE WHEN {restart} THEN 1 ELSE 0 END)
+                         OVER (PARTITION BY flow_key ORDER BY ts_us, packet_id) AS spell FROM held),
+    runs AS (SELECT *, row_number() OVER (PARTITION BY flow_key, spell ORDER BY ts_us, packet_id) - 1 AS nth FROM spells),
     windows AS (
-      SELECT flow_key, nth // {SEQUENCE_LENGTH} AS window_no, count(*) AS n, min(ts_us) AS first_us,
-             max(ts_us) AS last_us, CAST(sum(size) AS DOUBLE) AS bytes,
+      SELECT flow_key, count(*) AS n, min(ts_us) AS first_us, max(ts_us) AS last_us, CAST(sum(size) AS DOUBLE) AS bytes,
              CAST(sum(CASE WHEN nth % {SEQUENCE_LENGTH} = 0 THEN 0 ELSE (ts_us - before_us) // {v.UNIT_US} END) AS DOUBLE) AS pause
-      FROM runs GROUP BY flow_key, nth // {SEQUENCE_LENGTH})
-    SELECT flow_key, window_no, first_us, last_us, bytes, pause FROM windows WHERE n = {SEQUENCE_LENGTH}
+      FROM runs GROUP BY flow_key, spell, nth // {SEQUENCE_LENGTH})
+    SELECT flow_key, row_number() OVER (PARTITION BY flow_key ORDER BY first_us) - 1 AS window_no,
+           first_us, last_us, bytes, pause
+    FROM windows WHERE n = {SEQUENCE_LENGTH}
     """
 
 
@@ -58,7 +62,7 @@ def st_count_window(spark, sf):
     return _summarized(st.run_once(st.count_windows(_packets(spark, sf), ["flow_key"], unit_us=v.UNIT_US)))
 
 
-@query("st_late", _windows_sql(f"(SELECT * EXCLUDE (prev_us) FROM gaps WHERE ts >= TIMESTAMP '{SPLIT}')"))
+@query("st_late", _windows_sql(f"packets WHERE ts >= TIMESTAMP '{SPLIT}'", v.IDLE_US))
 def st_late(spark, sf):
     """Recent packets first, then all older ones: those come too late and are dropped."""
     folder, output, marks = (scratch_path(spark, name) for name in ("arrivals", "stream", "marks"))

@@ -77,27 +77,27 @@ class _CountWindow:
             state.remove()
             return
         count, times, directions, sizes = state.get if state.exists else (0, [], [], [])
-        times, directions, sizes = list(times), list(directions), list(sizes)
+        held = list(zip(times, directions, sizes))
         arrived = pd.concat(list(batches)).sort_values(["ts_us", "packet_id"])
-        times += arrived["ts_us"].tolist()
-        directions += arrived["direction"].tolist()
-        sizes += arrived["size"].tolist()
-        full = len(times) // self.length
         rows = []
-        for start in range(0, full * self.length, self.length):
-            stop = start + self.length
-            stamps = times[start:stop]
-            gaps = [0] + [max(b - a, 0) // self.unit_us for a, b in zip(stamps, stamps[1:])]
-            triplet = [gaps, directions[start:stop], sizes[start:stop]]
-            rows.append((*key, count, stamps[0], stamps[-1], [[float(v) for v in c] for c in triplet]))
-            count += 1
-        rest = full * self.length
-        state.update((count, times[rest:], directions[rest:], sizes[rest:]))
+        for packet in zip(*(arrived[c].tolist() for c in ("ts_us", "direction", "size"))):
+            if held and self.idle_ms is not None and packet[0] - held[-1][0] > self.idle_ms * 1000:
+                held = []
+            held.append(packet)
+            if len(held) == self.length:
+                rows.append((*key, count, held[0][0], held[-1][0], self._sequence(held)))
+                held, count = [], count + 1
+        state.update((count, *([p[i] for p in held] for i in range(3))))
         if self.idle_ms is not None:
             seen = int(arrived["ts_us"].max() // 1000)
-            state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs()) + self.idle_ms)
+            state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs()) + self.idle_ms + 1)
         yield pd.DataFrame(rows, columns=[*self.keys, "window_no", "first_us", "last_us", "sequence"])
 
+    def _sequence(self, held: list[tuple]) -> list[list[float]]:
+        stamps, directions, sizes = zip(*held)
+        gaps = [0] + [max(b - a, 0) // self.unit_us for a, b in zip(stamps, stamps[1:])]
+        return [[float(v) for v in channel] for channel in (gaps, directions, sizes)]
+
 
 def count_windows(
     packets: DataFrame,
@@ -109,9 +109,11 @@ def count_windows(
 ) -> DataFrame:
     """Streaming form of the batch count windows.
 
-    Packets are ordered by (ts_us, packet_id) within a micro-batch. With `delay` the
-    column `ts` gets a watermark, packets older than it are dropped, and flows silent for
-    `idle_ms` of event time lose their state; without it unfinished windows stay for ever.
+    Packets are ordered by (ts_us, packet_id) within a micro-batch, which is also what one
+    task holds of a flow: bound it with the source's rate limit. With `delay` the column
+    `ts` gets a watermark, and with `idle_ms` as well packets older than it are dropped,
+    a silence longer than `idle_ms` of event time discards the unfinished window, and the
+    state of flows that stay silent is removed. Otherwise unfinished windows stay for ever.
     """
     rows = packets if delay is None else packets.withWatermark("ts", delay).filter(F.col("ts").isNotNull())
     fields = [rows.schema[k] for k in keys]
