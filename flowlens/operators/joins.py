@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from flowlens.session import checkpointed
 
@@ -14,12 +15,20 @@ BROADCAST_ROWS = 100_000
 
 def settle(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """Compute a side table once; also tell whether it is small enough to broadcast."""
-    head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows <= max_rows:
-        return df.sparkSession.createDataFrame(head, df.schema), True
+    head = df.limit(max_rows + 1).collect()
+    if len(head) <= max_rows:
+        return df.sparkSession.createDataFrame(head, _nullable(df.schema)), True
     return checkpointed(df), False
 
 
+def _nullable(schema: T.StructType) -> T.StructType:
+    """The same layout with NULL allowed everywhere, as outer joins and windows may produce it."""
+    text = schema.json()
+    for flag in ("nullable", "containsNull", "valueContainsNull"):
+        text = text.replace(f'"{flag}":false', f'"{flag}":true')
+    return T.StructType.fromJson(json.loads(text))
+
+
 def join_same(
     left: DataFrame, right: DataFrame, names: Sequence[str], how: str, small: bool = False
 ) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from flowlens.operators.joins import input_bytes, join_same
+from flowlens.operators.joins import input_bytes, join_same, settle
 from flowlens.session import checkpointed
 
 ROWS_PER_TASK = 4_000_000
@@ -75,11 +75,15 @@ class OrderedRows:
         return OrderedRows(calm, hot, self._keys, self._order)
 
     def _carried(self, name: str, total: Column, over: Callable[[Window], Column]) -> DataFrame:
-        """Hot rows plus `over` evaluated on the range totals, as column `name`."""
+        """Hot rows plus `over` evaluated on the range totals, as column `name`.
+
+        The totals, one row per range and key, are computed at once: otherwise every
+        later step would repeat all earlier ones.
+        """
         totals = self._hot.groupBy(*self._keys, RANGE).agg(total.alias("_total"))
         ranges = Window.partitionBy(*self._keys).orderBy(RANGE)
-        carry = totals.select(*self._keys, RANGE, over(ranges).alias(name))
-        return join_same(self._hot, carry, [*self._keys, RANGE], "left", small=True)
+        carry, small = settle(totals.select(*self._keys, RANGE, over(ranges).alias(name)))
+        return join_same(self._hot, carry, [*self._keys, RANGE], "left", small=small)
 
     def map(self, change: Callable[[DataFrame], DataFrame]) -> "OrderedRows":
         """Row-wise change that keeps keys and order columns."""
@@ -89,26 +93,27 @@ class OrderedRows:
         self, previous: dict[str, str] | None = None, following: dict[str, str] | None = None
     ) -> "OrderedRows":
         """Columns of the row before and the row after, as {new name: column}."""
-        sides = [(previous, F.lag, F.max_by), (following, F.lead, F.min_by)]
-        calm, hot = self._calm, self._hot
+        sides = [(previous or {}, F.lag, F.max_by), (following or {}, F.lead, F.min_by)]
         window = self._window(False)
-        calm = calm.withColumns(
-            {new: shift(F.col(old)).over(window)
-             for names, shift, _ in sides if names for new, old in names.items()}
+        calm = self._calm.withColumns(
+            {new: shift(F.col(old)).over(window) for names, shift, _ in sides for new, old in names.items()}
         )
+        hot = self._hot
         if hot is not None:
-            step = self
-            for names, shift, edge in sides:
-                if not names:
-                    continue
-                packed = F.struct(*[F.col(old).alias(new) for new, old in names.items()])
-                hot = step._carried(
-                    "_edge", edge(packed, F.struct(*self._order)), lambda w: shift(F.col("_total")).over(w)
-                )
-                inner = shift(packed).over(self._window(True))
-                hot = hot.withColumn("_edge", F.coalesce(inner, F.col("_edge")))
-                hot = hot.withColumns({new: F.col("_edge")[new] for new in names}).drop("_edge")
-                step = self._with(calm, hot)
+            used = [(names, shift, edge, f"_edge{i}") for i, (names, shift, edge) in enumerate(sides) if names]
+            packed = {
+                at: F.struct(*[F.col(old).alias(new) for new, old in names.items()]) for names, _, _, at in used
+            }
+            edges = F.struct(*[edge(packed[at], F.struct(*self._order)).alias(at) for _, _, edge, at in used])
+
+            def across(ranges) -> Column:
+                return F.struct(*[shift(F.col("_total")[at]).over(ranges).alias(at) for _, shift, _, at in used])
+
+            hot = self._carried("_edges", edges, across)
+            inner = {at: shift(packed[at]).over(self._window(True)) for _, shift, _, at in used}
+            hot = hot.withColumns({at: F.coalesce(inner[at], F.col("_edges")[at]) for at in inner})
+            hot = hot.withColumns({new: F.col(at)[new] for names, _, _, at in used for new in names})
+            hot = hot.drop("_edges", *inner)
         return self._with(calm, hot)
 
     def with_running(
