@@ -343,3 +343,28 @@ def verdicts(found: DataFrame) -> DataFrame:
         "item_ids",
         ((F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def oracle_sql(width: int = WINDOW, share: int = SHARE) -> str:
+    words = (
+        r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+        r" '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    )
+    return f"""
+WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {words} AS w FROM benchmark),
+wanted AS (
+  SELECT DISTINCT item_id, least(len(w), {width}) AS n, array_to_string(w[i:i + {width} - 1], ' ') AS k
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - {width} + 1, 1) + 1)) AS i FROM items WHERE len(w) > 0)
+),
+docs AS (SELECT doc_id, {words} AS w FROM documents),
+widths AS (SELECT DISTINCT n FROM wanted),
+places AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, widths WHERE len(w) >= n),
+hits AS (
+  SELECT doc_id, i, p.n, item_id FROM places p JOIN wanted q ON p.n = q.n AND array_to_string(w[i:i + p.n - 1], ' ') = q.k
+),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM hits GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND {share} * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowlens.llm import decontam, secrets, sentencepieces, token_counts
+from flowlens.llm import decontam, lines, minhash, secrets, sentencepieces, substrings, token_counts, topk
 from flowlens.llm.tables import documents, table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -19,12 +19,32 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.digests(sentencepieces.encode_decode(docs, public_tokenizers.path(PIECE_MODEL)))
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(table(spark, sf_dir, "documents"))
     counted = token_counts.count_tokens(docs, public_tokenizers.path(BYTE_VOCABULARY))
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = lines.drop_boilerplate(table(spark, sf_dir, "documents"))
+    return cleaned.select(
+        "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256")
+    )
+
+
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(documents(table(spark, sf_dir, "documents"))))
 
@@ -43,8 +63,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_topk": op2_topk,
     "op4_token_counts": op4_token_counts,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_minhash": op6_minhash,
+    "op7_substring": op7_substring,
     "op8_secrets": op8_secrets,
     "op10_decontamination": op10_decontamination,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_topk": topk.oracle_sql(k=20, every=20),
+    "op5_line_dedup": lines.oracle_sql(),
+    "op6_minhash": minhash.oracle_sql(width=2, percent=80),
+    "op7_substring": substrings.oracle_sql(),
+    "op10_decontamination": decontam.oracle_sql(),
+}
