@@ -22,7 +22,8 @@ CANDIDATES = 2048
 QUERIES = 1024
 #: Points of a leaf.
 LEAF = 96
-_LEAST = np.iinfo(np.int64).min
+#: No score yet; its negative is a whole number, too.
+_LEAST = -np.iinfo(np.int64).max
 
 
 class CoverTree:
