@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowlens.llm import decontam, lines, minhash, secrets, sentencepieces, substrings, token_counts, topk
+from flowlens.llm import decontam, langid, lines, minhash, secrets, sentencepieces, substrings, token_counts, topk, toxicity
 from flowlens.llm.tables import documents, table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -23,6 +23,19 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+def _fold(id_col: str, folds: int):
+    """Fold of an id; null ids have none."""
+    return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(folds))
+
+
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = _fold("doc_id", 3)
+    model = langid.train(docs.where(fold != 1), key=F.xxhash64("doc_id"))
+    found = langid.identify(docs.select("doc_id", "text", F.coalesce(fold == 1, F.lit(False)).alias("held_out")), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(table(spark, sf_dir, "documents"))
     counted = token_counts.count_tokens(docs, public_tokenizers.path(BYTE_VOCABULARY))
@@ -49,6 +62,15 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(documents(table(spark, sf_dir, "documents"))))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    fold = _fold("doc_id", 4)
+    network = toxicity.train(docs.join(labels.where(fold != 2), "doc_id"), key=F.xxhash64("doc_id"))
+    scored = toxicity.score(docs.withColumn("held_out", F.coalesce(fold == 2, F.lit(False))), network)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -64,11 +86,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_topk": op2_topk,
+    "op3_langid": op3_langid,
     "op4_token_counts": op4_token_counts,
     "op5_line_dedup": op5_line_dedup,
     "op6_minhash": op6_minhash,
     "op7_substring": op7_substring,
     "op8_secrets": op8_secrets,
+    "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
 }
 SQL: dict[str, str] = {

@@ -20,12 +20,14 @@ _U = np.uint64
 
 
 def separators(spec: str) -> np.ndarray:
-    """256 flags: byte is no part of a word. `space`: white space of ASCII; `alnum`: all ASCII but 0-9A-Za-z."""
+    """256 flags: byte is no part of a word. `space`: white space of ASCII; `alnum`, `letters`: all ASCII but 0-9A-Za-z, or but A-Za-z."""
     out = np.zeros(256, bool)
     if spec == "space":
         out[[0x20, *range(0x09, 0x0E)]] = True
     elif spec == "alnum":
         out[:128] = [not chr(c).isalnum() for c in range(128)]
+    elif spec == "letters":
+        out[:128] = [not chr(c).isalpha() for c in range(128)]
     else:
         raise ValueError(f"unknown word rule {spec!r}")
     return out
