@@ -102,5 +102,6 @@ SQL: dict[str, str] = {
     "op5_line_dedup": lines.oracle_sql(),
     "op6_minhash": minhash.oracle_sql(width=2, percent=80),
     "op7_substring": substrings.oracle_sql(),
+    "op8_secrets": secrets.oracle_sql(),
     "op10_decontamination": decontam.oracle_sql(),
 }

@@ -223,3 +223,72 @@ def digests(scanned: DataFrame, spans: str = "secrets") -> DataFrame:
         F.sha2(joined(F.filter(spans, lambda s: s["kind"].isin(*base))), 256).alias("base_sha256"),
         joined(F.col(spans)).alias("spans"),
     )
+
+
+def oracle_sql() -> str:
+    """The same spans in SQL; letters of the key words are spelled in both cases."""
+    assign = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in "password|passwd|secret|token|api_?key")
+    assign = rf"""((?:{assign})["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
+    patterns = {"assign": assign, "access": "AKIA[A-Z0-9]{12,}", "hex": "[0-9a-f]{32,}"}
+    patterns |= {a.name: f"[{a.letters}]{{{a.window},}}" for a in ALPHABETS}
+    quote = lambda text: "'" + text.replace("'", "''") + "'"
+    found = "\n  UNION ALL ".join(
+        f"""SELECT doc_id, {quote(kind)} AS kind, {KINDS.index(kind)} AS ord, string_split_regex(t, {quote(p)}) AS gaps,
+    regexp_extract_all(t, {quote(p)}) AS hits, {f"regexp_extract_all(t, {quote(p)}, 2)" if kind == "assign" else "NULL"} AS vals
+  FROM texts WHERE regexp_matches(t, {quote(p)})"""
+        for kind, p in patterns.items()
+    )
+    allowed = " OR ".join(f"regexp_matches(word, {quote(p)})" for p in ALLOWED)
+    windows = "\n  UNION ALL ".join(
+        f"""SELECT doc_id, kind, ord, start, i, {a.limit} AS most, {a.window} AS w, unnest(string_split(substr(word, i + 1, {a.window}), '')) AS ch,
+    {weights(a.window)} AS weight
+  FROM (SELECT *, unnest(range(0, length(word) - {a.window} + 1)) AS i FROM matches
+        WHERE kind = {quote(a.name)} AND NOT ({allowed}))"""
+        for a in ALPHABETS
+    )
+    return f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS (
+  {found}
+),
+numbered AS (SELECT *, unnest(range(1, len(hits) + 1)) AS k FROM found),
+matches AS (
+  SELECT doc_id, kind, ord, hits[k] AS word, length(vals[k]) AS value_length,
+         CAST(list_sum(list_transform(gaps[1:k], lambda g: length(g)))
+           + coalesce(list_sum(list_transform(hits[1:k - 1], lambda h: length(h))), 0) AS BIGINT) AS start
+  FROM numbered
+),
+letters AS (
+  {windows}
+),
+counted AS (
+  SELECT doc_id, kind, ord, start, i, any_value(most) AS most, any_value(w) AS w, any_value(weight) AS weight, ch, count(*) AS c
+  FROM letters GROUP BY doc_id, kind, ord, start, i, ch
+),
+hot AS (
+  SELECT doc_id, kind, ord, start, i, any_value(w) AS w FROM counted
+  GROUP BY doc_id, kind, ord, start, i HAVING sum(weight[c + 1]) <= any_value(most)
+),
+breaks AS (
+  SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id, ord, start ORDER BY i) <= w THEN 0 ELSE 1 END AS fresh FROM hot
+),
+islands AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, ord, start ORDER BY i) AS island FROM breaks),
+spans AS (
+  SELECT doc_id, kind, ord, start AS a, start + length(word) AS b FROM matches
+  WHERE kind IN ('access', 'hex') OR kind = 'assign' AND value_length >= {ASSIGN_LENGTH}
+  UNION ALL
+  SELECT doc_id, any_value(kind), ord, start + min(i), start + max(i) + any_value(w) FROM islands GROUP BY doc_id, ord, start, island
+),
+joined AS (
+  SELECT doc_id,
+         count(*) FILTER (WHERE kind = 'assign') AS n_assign,
+         count(*) FILTER (WHERE kind = 'access') AS n_access,
+         count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+         string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, ord) FILTER (WHERE ord < 3) AS base,
+         string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, ord) AS spans
+  FROM spans GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN joined j USING (doc_id)
+"""
