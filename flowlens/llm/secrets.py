@@ -128,10 +128,11 @@ def _hot_windows(word: Column, alphabet: Alphabet) -> Column:
     def step(acc: Column, i: Column) -> Column:
         come = number(i)
         gone = F.when(i > w, number(i - w)).otherwise(0)
-        # One step: the sum changes only by the two characters that come and go.
-        added = weight[acc["counts"][come - 1] + 1] - weight[acc["counts"][come - 1]]
-        left = acc["counts"][gone - 1] + F.when(gone == come, 1).otherwise(0)
-        total = acc["total"] + added + F.when(gone > 0, weight[left - 1] - weight[left]).otherwise(0)
+        # One step: the sum changes only by the character that goes and the one that comes.
+        held = acc["counts"][gone - 1]
+        less = F.when(gone > 0, weight[held - 1] - weight[held]).otherwise(0)
+        base = acc["counts"][come - 1] - F.when(gone == come, 1).otherwise(0)
+        total = acc["total"] + less + weight[base + 1] - weight[base]
         counts = F.transform(
             acc["counts"],
             lambda c, j: c + F.when(j == come - 1, 1).otherwise(0) - F.when(j == gone - 1, 1).otherwise(0),

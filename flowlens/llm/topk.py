@@ -146,7 +146,8 @@ def top_k(
     Queries are the rows whose id is divisible by `every`, candidates all rows but the query's own.
     Ties go to the smaller id; with fewer than k candidates all are returned. Null ids and vectors
     that are null or hold null or non-finite components take no part; an empty vector scores 0;
-    shorter vectors count as padded with zeros. Of rows with equal ids the smallest vector counts.
+    shorter vectors count as padded with zeros; scores beyond 64 bits are held at
+    the bound. Of rows with equal ids the smallest vector counts.
     An empty table gives no rows; other columns are not read.
     """
     held = quantized(vectors, id_col, vector_col, scale).groupBy("vec_id").agg(F.min("v").alias("v"))
