@@ -27,6 +27,8 @@ WINDOW, STRIDE = 32, 16
 WORD_CELLS, CHAR_CELLS = 1 << 16, 1 << 16
 WIDTH, HIDDEN = 6, 8
 EPOCHS, BATCH, RATE = 3, 256, 0.01
+#: Small training sets are gone through more often, until so many steps are made.
+LEAST_STEPS = 150
 THRESHOLD = 0.3
 #: Logit of a text without words.
 NOTHING = -12.0
@@ -175,7 +177,7 @@ class Network:
         rng = np.random.default_rng(seed)
         moments = {name: [np.zeros_like(v), np.zeros_like(v)] for name, v in self.p.items()}
         step = 0
-        for _ in range(EPOCHS):
+        for _ in range(max(EPOCHS, -(-LEAST_STEPS // max(1, -(-len(y) // BATCH))))):
             order = rng.permutation(len(y))
             for a in range(0, len(order), BATCH):
                 part = order[a : a + BATCH]

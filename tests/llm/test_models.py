@@ -61,8 +61,10 @@ def test_gradients_equal_differences():
 
 
 def test_toxicity_edges(spark):
-    texts = ["you idiot fool"] * 30 + ["a fine clear day"] * 60
-    net = toxicity.learn(texts, np.array([1] * 30 + [0] * 60))
+    rng = np.random.default_rng(3)
+    filler = lambda: " ".join(rng.choice(["word", "fine", "day", "clear", "a"], 40))
+    texts = [f"{filler()} idiot {filler()}" for _ in range(60)] + [f"{filler()} {filler()}" for _ in range(140)]
+    net = toxicity.learn(texts, np.array([1] * 60 + [0] * 140))
     rows = [(1, None), (2, ""), (3, "a fine day"), (4, "word " * 9000 + "idiot fool " + "word " * 9000), (4, "a fine day")]
     docs = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, score int")
     got = toxicity.score(docs, net).collect()
