@@ -8,7 +8,7 @@
 3. Pairs pass a size test and a comparison of one-bit signatures, then the exact test on full sets.
 4. Components come from alternating large-star and small-star steps.
 5. Buckets that still hold several components are finished exactly: nodes outside the bucket's
-   main component meet the members of other components.
+   main component meet that component's nodes and each other on full sets, in bounded blocks.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ BANDS, ROWS = 48, 6
 SKETCH = 4
 #: Standard deviations by which the one-bit signature may fall short of the threshold.
 SLACK = 5.0
+#: Members of a bucket whose pairs may be listed, and nodes of a block of a hub.
+SMALL_BUCKET, BLOCK = 16, 128
 
 _U = np.uint64
 
@@ -125,25 +127,33 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "node binary, shingles array<long>")
 
 
-def _alike(percent: int) -> Column:
-    """Size and signature tests of two nodes a and b; they never refuse a pair at the threshold by size."""
+def _limit(percent: int) -> int:
+    """Bits by which the signatures of a pair at the threshold may differ."""
     bits = 64 * SKETCH
     share = (1 - percent / 100) / 2
-    limit = int(bits * share + SLACK * (bits * share * (1 - share)) ** 0.5)
+    return int(bits * share + SLACK * (bits * share * (1 - share)) ** 0.5)
+
+
+def _alike(percent: int) -> Column:
+    """Size and signature tests of two nodes a and b; they never refuse a pair at the threshold by size."""
     apart = sum(
         (F.bit_count(F.col("a.sketch")[i].bitwiseXOR(F.col("b.sketch")[i])) for i in range(1, SKETCH)),
         F.bit_count(F.col("a.sketch")[0].bitwiseXOR(F.col("b.sketch")[0])),
     )
     small, large = F.least("a.n_shingles", "b.n_shingles"), F.greatest("a.n_shingles", "b.n_shingles")
-    return (small * 100 >= large * percent) & (apart <= limit)
+    return (small * 100 >= large * percent) & (apart <= _limit(percent))
+
+
+def _sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """node and shingles of the wanted nodes, from the text of one document each."""
+    ids = settle(wanted.join(nodes.select("node", "doc_id"), "node").select("doc_id").distinct(), "needed")
+    sets = shingle_sets(docs.join(ids, "doc_id", "left_semi"), width)
+    return settle(sets.dropDuplicates(["node"]), "sets")
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs whose full sets reach the threshold."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = settle(needed.join(nodes.select("node", "doc_id"), "node").select("doc_id").distinct(), "needed")
-    sets = shingle_sets(docs.join(wanted, "doc_id", "left_semi"), width)
-    sets = settle(sets.dropDuplicates(["node"]), "sets")
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, docs, width)
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
     both = pairs.join(left, "a").join(right, "b")
@@ -225,10 +235,9 @@ def near_duplicates(
     links = settle(_confirmed(pairs, nodes, plain, width, percent), "links")
     roots = settle(star_components(links), "roots")
 
-    rest = settle(_open_pairs(members, roots, pairs, percent), "pairs")
-    more = _confirmed(rest, nodes, plain, width, percent)
-    joined = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
-    roots = settle(star_components(settle(joined, "links")), "roots")
+    more = _closing_links(members, roots, pairs, nodes, plain, width, percent)
+    joined = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    roots = settle(star_components(settle(joined.unionByName(more), "links")), "roots")
 
     labelled = settle(
         marked.select("doc_id", "n_shingles", "node")
@@ -247,11 +256,16 @@ def near_duplicates(
     )
 
 
-def _open_pairs(members: DataFrame, roots: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """Untested pairs of nodes that share a bucket but no component.
+def _closing_links(
+    members: DataFrame, roots: DataFrame, tested: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int
+) -> DataFrame:
+    """Links between nodes that share a bucket but, so far, no component.
 
-    One side of such a pair is always outside the bucket's largest component, so buckets of one
-    component cost nothing and others cost their outsiders times their members.
+    One side of such a link is always outside the bucket's largest component, so buckets of one
+    component cost nothing. In small buckets the pairs are listed and confirmed. In large ones the
+    outsiders of all buckets with the same largest component, the hub, meet the hub's nodes and
+    each other once, in blocks of bounded size, on full sets; a node passes on one link per
+    component it reaches.
     """
     labelled = settle(
         members.where("n > 2").drop("weight").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")),
@@ -266,15 +280,69 @@ def _open_pairs(members: DataFrame, roots: DataFrame, tested: DataFrame, percent
         "mixed",
     )
     rows = settle(labelled.join(mixed, "bucket"), "mixed_rows")
-    a, b = rows.where("root <> main").alias("a"), rows.alias("b")
-    pairs = a.join(b, F.col("a.bucket") == F.col("b.bucket")).where(
+    small = F.col("n") <= SMALL_BUCKET
+    a, b = rows.where(small & (F.col("root") != F.col("main"))).alias("a"), rows.where(small).alias("b")
+    few = a.join(b, F.col("a.bucket") == F.col("b.bucket")).where(
         (F.col("a.root") != F.col("b.root"))
         & ((F.col("b.root") == F.col("b.main")) | (F.col("a.node") < F.col("b.node")))
         & _alike(percent)
     )
-    pairs = pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-    either = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return pairs.join(either, ["a", "b"], "left_anti")
+    ordered = lambda df, x, y: df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    few = ordered(few, "a.node", "b.node").distinct().join(ordered(tested, "a", "b"), ["a", "b"], "left_anti")
+    few = _confirmed(settle(few, "pairs"), nodes, docs, width, percent)
+
+    outside = settle(
+        rows.where(~small & (F.col("root") != F.col("main"))).select(F.col("main").alias("hub"), "node", "root").distinct(),
+        "outside",
+    )
+    hubs = settle(outside.groupBy("hub").agg(F.count("*").alias("k")), "hubs")
+    own = roots.join(hubs.select("hub"), F.col("root") == F.col("hub")).select("hub", "node", "root")
+    alone = hubs.select("hub", F.col("hub").alias("node"), F.col("hub").alias("root"))
+    inside = settle(own.unionByName(alone).unionByName(outside).distinct(), "inside")
+    size = inside.groupBy("hub").agg(F.count("*").alias("m")).join(hubs, "hub")
+    size = settle(
+        size.select("hub", F.ceil(F.col("k") / BLOCK).cast("int").alias("rows"), F.ceil(F.col("m") / BLOCK).cast("int").alias("columns")),
+        "blocks",
+    )
+    sets = _sets_of(inside.select("node").distinct(), nodes, docs, width)
+    number = lambda parts: F.pmod(F.xxhash64("node"), F.col(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    full = lambda df, i, j: df.join(size, "hub").withColumn("i", i).withColumn("j", j).join(sets, "node").select(
+        *[F.col(c).alias(c) for c in ("hub", "i", "j", "node", "root", "shingles")]
+    )
+    left, right = full(outside, number("rows"), every("columns")), full(inside, every("rows"), number("columns"))
+    arrow = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple[bytes, bytes]] = []
+        if left.num_rows and right.num_rows:
+            theirs, roots = right.column("node").to_pylist(), right.column("root").to_pylist()
+            held, ends = _flat(right)
+            owner = np.repeat(np.arange(len(theirs)), np.diff(ends))
+            order = np.argsort(held, kind="stable")
+            held, owner, sizes = held[order], owner[order], np.diff(ends)
+            mine, bounds = _flat(left)
+            for k, (node, root) in enumerate(zip(left.column("node").to_pylist(), left.column("root").to_pylist())):
+                own = mine[bounds[k] : bounds[k + 1]]
+                low, high = np.searchsorted(held, own, "left"), np.searchsorted(held, own, "right")
+                count = high - low
+                at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+                common = np.bincount(owner[at], minlength=len(theirs))
+                linked = np.flatnonzero(common * 100 >= (len(own) + sizes - common) * percent)
+                reached = {roots[j]: theirs[j] for j in linked if roots[j] != root}
+                out += [(node, other) for other in reached.values()]
+        columns = list(zip(*out)) or [[], []]
+        return pa.table([pa.array(c, pa.binary()) for c in columns], schema=arrow)
+
+    many = left.groupBy("hub", "i", "j").cogroup(right.groupBy("hub", "i", "j")).applyInArrow(meet, "a binary, b binary")
+    return few.unionByName(many)
+
+
+def _flat(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """All shingles of a table one after another, and the bounds of each row."""
+    lists = table.column("shingles").combine_chunks()
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+    return lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
 
 def oracle_sql(width: int, percent: int) -> str:
