@@ -22,13 +22,13 @@ class Dictionary:
         """Number the distinct non-NULL values in ascending order, starting at `first`."""
         spark = df.sparkSession
         values = df.select(F.col(column).alias("value")).filter("value is not null").distinct()
-        ordered = values.orderBy("value")
         schema = T.StructType([*values.schema.fields, T.StructField("index", T.IntegerType())])
-        head = ordered.limit(broadcast_rows + 1).collect()
+        # An unsorted head stops after the limit; only a short list is sorted here.
+        head = values.limit(broadcast_rows + 1).collect()
         if len(head) <= broadcast_rows:
-            rows = [(row["value"], i) for i, row in enumerate(head, start=first)]
+            rows = [(value, i) for i, value in enumerate(sorted(row["value"] for row in head), start=first)]
             return cls(spark.createDataFrame(rows, schema), small=True)
-        return cls(_dense_index(ordered, first), small=False)
+        return cls(_dense_index(values.orderBy("value"), first), small=False)
 
     @classmethod
     def of_values(cls, spark, values: list, first: int = 0, value_type=None) -> "Dictionary":
@@ -68,9 +68,7 @@ class Dictionary:
         return values.join(side, F.col(column) == F.col("_value"), "left_anti")
 
     def values(self) -> list:
-        """The values in index order; only for dictionaries of broadcast size."""
-        if not self.small:
-            raise ValueError("dictionary too large to list")
+        """The values in index order, as a list on the driver; joins do not need it."""
         return [row["value"] for row in self.frame.orderBy("index").collect()]
 
 

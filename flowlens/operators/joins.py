@@ -9,18 +9,36 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from flowlens.session import checkpointed
 
-# A side table up to this many rows is broadcast; a larger one is joined by shuffle.
+# A side table up to this many rows and bytes is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 16 << 20
 
 
-def settle(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Compute a side table once; also tell whether it is small enough to broadcast."""
-    head = df.limit(max_rows + 1).collect()
-    if len(head) <= max_rows:
+def settle(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """Compute a side table once; also tell whether it is small enough to broadcast.
+
+    The head of the table is as large as the limits allow at most: the row limit follows from the
+    width of a row, so that wide rows are not collected in numbers.
+    """
+    width = max(8, _row_bytes(df.schema))
+    rows = max(1, min(max_rows, max_bytes // width))
+    head = df.limit(rows + 1).collect()
+    if len(head) <= rows:
         return df.sparkSession.createDataFrame(head, _nullable(df.schema)), True
     return checkpointed(df), False
 
 
+def _row_bytes(kind: T.DataType) -> int:
+    """Usual width of a value: 8 bytes for numbers, 20 for text, 16 elements for arrays and maps."""
+    if isinstance(kind, T.StructType):
+        return sum(_row_bytes(field.dataType) for field in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return 16 * _row_bytes(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return 16 * (_row_bytes(kind.keyType) + _row_bytes(kind.valueType))
+    return 20 if isinstance(kind, (T.StringType, T.BinaryType)) else 8
+
+
 def _nullable(schema: T.StructType) -> T.StructType:
     """The same layout with NULL allowed everywhere, as outer joins and windows may produce it."""
     text = schema.json()

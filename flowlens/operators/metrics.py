@@ -133,16 +133,23 @@ def running_accuracy(
     order: Sequence[str],
     every: int,
     rows_per_task: int = ROWS_PER_TASK,
+    probability: Column | None = None,
+    floor: float = 1e-15,
 ) -> DataFrame:
-    """Accuracy since the start of a chunk, after every `every` rows of it."""
+    """Accuracy since the start of a chunk, after every `every` rows of it.
+
+    With the probability of the true class also the mean loss so far.
+    """
     hit = F.coalesce((F.col("y_true") == F.col("y_pred")).cast("long"), F.lit(0))
     rows = OrderedRows.of(predictions, [chunk], order, rows_per_task)
-    return (
-        rows.with_running(sums={"rows": F.lit(1), "correct": hit})
-        .frame()
-        .filter(F.col("rows") % every == 0)
-        .select(chunk, "rows", "correct", (F.col("correct") / F.col("rows")).alias("accuracy"))
-    )
+    sums = {"rows": F.lit(1), "correct": hit}
+    if probability is not None:
+        sums["_loss"] = -F.ln(F.greatest(probability, F.lit(floor)))
+    running = rows.with_running(sums=sums).frame().filter(F.col("rows") % every == 0)
+    columns = [chunk, "rows", "correct", (F.col("correct") / F.col("rows")).alias("accuracy")]
+    if probability is not None:
+        columns.append((F.col("_loss") / F.col("rows")).alias("loss"))
+    return running.select(*columns)
 
 
 def grouped_accuracy(predictions: DataFrame, group: str) -> DataFrame:

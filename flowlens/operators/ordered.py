@@ -3,7 +3,8 @@
 Keys of ordinary size use plain windows: one shuffle on the key. A key with more rows
 than one task should sort is range-partitioned on (key, order), so its rows spread over
 many tasks; each range is scanned on its own and the few range totals are carried over.
-The carry table has at most one row per range and hot key, which bounds the broadcast.
+Hot keys and carry tables (one row per range and hot key) are broadcast only below a size limit
+and joined by shuffle beyond it.
 """
 
 from __future__ import annotations
@@ -13,13 +14,11 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from flowlens.operators.joins import input_bytes, join_same, settle
+from flowlens.operators.joins import join_same, settle
 from flowlens.session import checkpointed
 
+# Every key with more rows than this is split, whatever the size of the table.
 ROWS_PER_TASK = 4_000_000
-MAX_HOT_KEYS = 50_000
-# An input this small is one task's work at most; its keys need no count.
-SMALL_INPUT_BYTES = 16 << 20
 RANGE = "_range"
 
 
@@ -44,26 +43,19 @@ class OrderedRows:
         rows_per_task: int = ROWS_PER_TASK,
     ) -> "OrderedRows":
         keys, order = list(keys), list(order)
-        if rows_per_task >= ROWS_PER_TASK and input_bytes(df) < SMALL_INPUT_BYTES:
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > rows_per_task)
+        hot_sizes, small = settle(sizes)
+        hot_rows = hot_sizes.agg(F.sum("_rows")).first()[0]
+        if hot_rows is None:
             return cls(df, None, keys, order)
-        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-        total, largest = sizes.agg(F.sum("_rows"), F.max("_rows")).first()
-        if largest is None or largest <= rows_per_task:
-            return cls(df, None, keys, order)
-        # Fewer than MAX_HOT_KEYS keys can exceed this cut.
-        cut = max(rows_per_task, total // MAX_HOT_KEYS)
-        found = sizes.filter(F.col("_rows") > cut).collect()
-        if not found:
-            return cls(df, None, keys, order)
-        hot_rows = sum(row["_rows"] for row in found)
-        hot_keys = df.sparkSession.createDataFrame(found, sizes.schema).drop("_rows")
+        hot_keys = hot_sizes.drop("_rows")
         ranges = math.ceil(hot_rows / rows_per_task)
         hot = (
-            join_same(df, hot_keys, keys, "left_semi", small=True)
+            join_same(df, hot_keys, keys, "left_semi", small=small)
             .repartitionByRange(ranges, *keys, *order)
             .withColumn(RANGE, F.spark_partition_id())
         )
-        calm = join_same(df, hot_keys, keys, "left_anti", small=True)
+        calm = join_same(df, hot_keys, keys, "left_anti", small=small)
         # The range of a row must not change between uses, hence the written copy.
         return cls(calm, checkpointed(hot), keys, order)
 

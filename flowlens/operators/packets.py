@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowlens.functions.histogram import bin_index
 from flowlens.functions.packet import is_quic_candidate
+from flowlens.operators.joins import join_same
 from flowlens.operators.ordered import ROWS_PER_TASK, OrderedRows
 from flowlens.schema import HISTOGRAM_NAMES, HISTOGRAM_SIZE, SEQUENCE_LENGTH
 
@@ -213,8 +214,8 @@ def count_windows(
 def packet_stats(packets: DataFrame, keys: Sequence[str], values: Sequence[str] = ("size", "ipt")) -> DataFrame:
     """Count, total, mean, median, standard deviation, minimum and maximum per key.
 
-    Values are whole bytes or time units. The median keeps one counter per distinct value
-    and is combined before the shuffle, so a huge key stays within the range of its values.
+    Values are whole bytes or time units. The median comes from counts per distinct value, which
+    are rows of a sort that may spill, so a huge key holds nothing of that kind in memory.
     """
     forward = F.col("direction") == 1
     columns = [
@@ -226,12 +227,38 @@ def packet_stats(packets: DataFrame, keys: Sequence[str], values: Sequence[str]
         columns += [
             F.sum(value).alias(f"{value}_total"),
             F.avg(value).alias(f"{value}_mean"),
-            F.median(value).alias(f"{value}_median"),
             F.stddev_samp(value).alias(f"{value}_std"),
             F.min(value).alias(f"{value}_min"),
             F.max(value).alias(f"{value}_max"),
         ]
-    return packets.groupBy(*keys).agg(*columns)
+    stats = packets.groupBy(*keys).agg(*columns)
+    return join_same(stats, _medians(packets, keys, values), list(keys), "left")
+
+
+def _medians(packets: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Exact medians per key, NULL values left out."""
+    pairs = F.array(*[F.struct(F.lit(v).alias("name"), F.col(v).cast("double").alias("value")) for v in values])
+    counted = (
+        packets.select(*keys, F.inline(pairs))
+        .filter(F.col("value").isNotNull())
+        .groupBy(*keys, "name", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    group = Window.partitionBy(*keys, "name")
+    before = group.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counted.withColumns({"_upto": F.sum("n").over(before), "_all": F.sum("n").over(group)})
+    # The one or two middle rows lie in the values that reach either half.
+    low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
+    holds = lambda place: (F.col("_upto") >= place) & (F.col("_upto") - F.col("n") < place)
+    middle = placed.select(*keys, "name", F.when(holds(low), F.col("value")).alias("low"), F.when(holds(high), F.col("value")).alias("high"))
+    return middle.groupBy(*keys).agg(
+        *[
+            ((F.max(F.when(F.col("name") == v, F.col("low"))) + F.max(F.when(F.col("name") == v, F.col("high")))) / 2).alias(
+                f"{v}_median"
+            )
+            for v in values
+        ]
+    )
 
 
 def flow_histograms(labelled: DataFrame, keys: Sequence[str]) -> DataFrame:

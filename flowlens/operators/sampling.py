@@ -108,6 +108,33 @@ def stratified_split(
     return mark_smallest(df, [label], score, id_column, quota, name)
 
 
+def day_roles(
+    df: DataFrame,
+    day: str,
+    validation_share: float = 0.2,
+    train_days: Sequence | None = None,
+    validation_days: Sequence | None = None,
+) -> DataFrame:
+    """(day, validates): the role of every day that takes part.
+
+    Days compete by rank: counted from the newest, the first part of the training days validates,
+    one day at least. A list of validation days replaces that rule, and `train_days` limits which
+    days take part at all; a share of 0 leaves no day for validation.
+    """
+    days = df.select(F.col(day).alias("_day")).where(F.col(day).isNotNull()).distinct()
+    if validation_days:
+        validates = F.col("_day").isin(list(validation_days))
+        takes_part = validates | F.col("_day").isin(list(train_days)) if train_days else F.lit(True)
+        return days.where(takes_part).select("_day", validates.alias("_validates"))
+    if train_days:
+        days = days.where(F.col("_day").isin(list(train_days)))
+    # One row per daily file.
+    newest = F.row_number().over(Window.orderBy(F.col("_day").desc()))
+    total = F.count(F.lit(1)).over(Window.partitionBy())
+    held = F.greatest(F.lit(1), F.floor(total * validation_share)) if validation_share > 0 else F.lit(0)
+    return days.select("_day", (newest <= held).alias("_validates"))
+
+
 def time_split(
     df: DataFrame,
     day: str,
@@ -115,27 +142,16 @@ def time_split(
     train_days: Sequence | None = None,
     validation_days: Sequence | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Train and validation rows by whole days.
+    """Train and validation rows by whole days, see `day_roles`; no day is on both sides.
 
-    Without explicit days the last max(1, floor(days * share)) training days validate.
-    Validation days never train. Filters on the day column prune partitions.
+    The roles are small and known at once, so both sides filter on the day column and prune
+    partitions.
     """
-    if train_days:
-        train = sorted(set(train_days))
-    else:
-        # One value per daily file.
-        train = [r[0] for r in df.select(day).filter(F.col(day).isNotNull()).distinct().orderBy(day).collect()]
-    if validation_days:
-        held = sorted(set(validation_days))
-        train = [d for d in train if d not in held]
-    elif validation_share > 0:
-        count = max(1, int(len(train) * validation_share))
-        train, held = train[:-count], train[-count:]
-    else:
-        held = []
-    if not train:
+    roles, _ = settle(day_roles(df, day, validation_share, train_days, validation_days))
+    sides = {role: [r["_day"] for r in roles.where(F.col("_validates") == role).collect()] for role in (False, True)}
+    if not sides[False]:
         raise ValueError("no day is left for training")
-    return df.filter(F.col(day).isin(train)), df.filter(F.col(day).isin(held))
+    return tuple(df.filter(F.col(day).isin(sides[role])) for role in (False, True))
 
 
 def epoch_order(df: DataFrame, id_column: str, epoch: int, seed: int = 42, score: Column | None = None) -> DataFrame:
@@ -158,18 +174,30 @@ def first_per_class(
     )
 
 
+#: How many rows of a class a demonstration trace may have.
+TRACE_ROWS = range(10, 21)
+
+
+def trace_shortages(picked: DataFrame, label: str, targets: Sequence[str], rows: int) -> DataFrame:
+    """(label, rows) of the target classes with fewer than `rows` picked rows, those without any included."""
+    wanted = picked.sparkSession.createDataFrame([(t,) for t in targets], f"`{label}` string").distinct()
+    counts = picked.groupBy(label).agg(F.count(F.lit(1)).alias("rows"))
+    return wanted.join(counts, label, "left").na.fill(0, ["rows"]).where(F.col("rows") < rows)
+
+
 def pick_traces(
     df: DataFrame, label: str, targets: Sequence[str], rows: int, order: Sequence[str]
 ) -> DataFrame:
-    """`first_per_class` for demonstration traces: 10 to 20 rows each, no class short."""
-    if not 10 <= rows <= 20:
-        raise ValueError("rows per class must lie between 10 and 20")
-    picked = first_per_class(df, label, targets, rows, order)
-    # One count per target class.
-    found = {r[0]: r[1] for r in picked.groupBy(label).count().collect()}
-    short = [f"{t} ({found.get(t, 0)})" for t in targets if found.get(t, 0) < rows]
-    if short:
-        raise ValueError("not enough rows for: " + ", ".join(short))
+    """`first_per_class` for demonstration traces; an error names the classes that are short.
+
+    The picks, a few rows per class, are computed once.
+    """
+    if rows not in TRACE_ROWS:
+        raise ValueError(f"a trace has {TRACE_ROWS[0]} to {TRACE_ROWS[-1]} rows per class, not {rows}")
+    picked, _ = settle(first_per_class(df, label, targets, rows, order))
+    missing = trace_shortages(picked, label, targets, rows).orderBy(label).collect()
+    if missing:
+        raise ValueError(f"classes below {rows} rows: {[tuple(row) for row in missing]}")
     return picked
 
 

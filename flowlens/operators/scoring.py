@@ -44,13 +44,33 @@ def conform_tabular(requests: DataFrame, width: int) -> DataFrame:
 
 
 def score(model: PipelineModel, rows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Predicted label and confidence per row (NULL where the model has no probabilities)."""
-    scored = scorer(model).transform(rows)
+    """Predicted label and confidence per row."""
+    scored = with_probabilities(scorer(model).transform(rows))
+    return scored.select(*keep, "y_pred", F.round(F.array_max("probabilities"), 4).alias("confidence"))
+
+
+def with_probabilities(scored: DataFrame) -> DataFrame:
+    """Class probabilities as an array that sums to 1.
+
+    One-versus-rest models only have a margin per class: its logistic value, shared out over the
+    classes, keeps their order.
+    """
     if "probability" in scored.columns:
-        confidence = F.round(F.array_max(vector_to_array("probability")), 4)
-    else:
-        confidence = F.lit(None).cast("double")
-    return scored.select(*keep, "y_pred", confidence.alias("confidence"))
+        return scored.withColumn("probabilities", vector_to_array("probability"))
+    share = F.transform(vector_to_array("rawPrediction"), lambda x: 1 / (1 + F.exp(-2 * x)))
+    total = F.aggregate(share, F.lit(0.0), lambda a, x: a + x)
+    return scored.withColumn("probabilities", F.transform(share, lambda x: x / total))
+
+
+def evaluate_loss(model: PipelineModel, rows: DataFrame, label: str = LABEL) -> DataFrame:
+    """Rows, hits, summed and mean log loss of a model on labelled rows; unknown labels get no probability."""
+    labels = model.stages[-1].getLabels()
+    known = rows.filter(F.col(label).isNotNull())
+    scored = with_probabilities(scorer(model).transform(known))
+    place = F.array_position(F.lit(list(labels)), F.col(label)).cast("int")
+    mine = F.when(place > 0, F.get("probabilities", place - 1)).otherwise(F.lit(0.0))
+    judged = scored.select(F.col(label).alias("y_true"), "y_pred", mine.alias("_p"))
+    return metrics.log_loss(judged, F.col("_p"))
 
 
 def score_with_truth(model: PipelineModel, rows: DataFrame, label: str = LABEL, keep: Sequence[str] = ()) -> DataFrame:

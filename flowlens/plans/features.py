@@ -28,7 +28,7 @@ KEY = ["flow_key", "flow_no"]
            round(avg((BYTES + 1.0) / (BYTES_REV + 1.0)), 6) AS mean_ratio,
            round(avg(coalesce(BYTES / nullif(PACKETS, 0), 0)), 6) AS mean_packet_fwd,
            round(avg(CASE WHEN DURATION > 0 THEN (BYTES + BYTES_REV) / DURATION ELSE 0 END), 6) AS mean_rate
-    FROM flows WHERE APP IS NOT NULL GROUP BY APP ORDER BY flows DESC, APP LIMIT 10
+    FROM flows WHERE APP IS NOT NULL GROUP BY APP ORDER BY flows DESC, APP
     """,
 )
 def traffic_by_app(spark, sf):
@@ -46,7 +46,6 @@ def traffic_by_app(spark, sf):
             r6(F.avg("BYTES_PER_SECOND")).alias("mean_rate"),
         )
         .orderBy(F.col("flows").desc(), "APP")
-        .limit(10)
     )
 
 
@@ -224,16 +223,23 @@ def features_tabular(spark, sf):
 @query(
     "hash_code",
     """
-    SELECT coalesce(CAST(QUIC_VERSION AS VARCHAR), 'UNKNOWN') AS version, count(*) AS flows, CAST(1 AS BIGINT) AS codes
-    FROM flows GROUP BY ALL
+    , versions AS (SELECT coalesce(CAST(QUIC_VERSION AS VARCHAR), 'UNKNOWN') AS version, count(*) AS flows FROM flows GROUP BY ALL)
+    SELECT flows, true AS repeatable, (SELECT count(DISTINCT version) FROM versions) AS codes FROM versions
     """,
 )
 def hash_code(spark, sf):
-    flows = v.flows(spark, sf)
+    """Rows per code: codes that collide would join two versions' rows and lower the number of codes.
+
+    A code is repeatable if the version's text, read back, has it, too.
+    """
     version = F.col("QUIC_VERSION")
-    return flows.groupBy(F.coalesce(version.cast("string"), F.lit("UNKNOWN")).alias("version")).agg(
-        F.count(F.lit(1)).alias("flows"), F.countDistinct(tabular.version_hash(version)).alias("codes")
+    again = tabular.version_hash(F.coalesce(version.cast("string"), F.lit("UNKNOWN")))
+    rows = v.flows(spark, sf).select(tabular.version_hash(version).alias("code"), again.alias("again"))
+    per_code = rows.groupBy("code").agg(
+        F.count(F.lit(1)).alias("flows"), F.bool_and(F.col("code") == F.col("again")).alias("repeatable")
     )
+    codes = per_code.agg(F.count(F.lit(1)).alias("codes"))
+    return per_code.drop("code").join(F.broadcast(codes))
 
 
 # Packets ---------------------------------------------------------------------------
@@ -331,6 +337,65 @@ def count_window(spark, sf):
     return pk.sequence_rows(windows, ["flow_key", "window_no"], "sequence")
 
 
+# A third of the flow keys folded into one: far more rows than a task should sort.
+_FOLDED = "CASE WHEN flow_key % 3 = 0 THEN 0 ELSE flow_key END"
+_SKEWED = f"""
+    , folded AS (SELECT * EXCLUDE (flow_key), {_FOLDED} AS flow_key FROM packets),
+    skewed AS (SELECT *, lag(ts_us) OVER (PARTITION BY flow_key ORDER BY ts_us, packet_id) AS prev_us FROM folded)
+"""
+SKEW_TASKS = 20
+
+
+def _skewed(spark, sf):
+    """Packets with one hot key, and the rows a task may hold so that the key has to be split."""
+    packets = v.packets(spark, sf)
+    key = F.when(F.col("flow_key") % 3 == 0, F.lit(0)).otherwise(F.col("flow_key"))
+    rows = v.table(spark, sf, "events").count()
+    return packets.withColumn("flow_key", key.cast("long")), max(1, rows // SKEW_TASKS)
+
+
+@query(
+    "skewed_gaps",
+    _SKEWED
+    + f"SELECT packet_id, flow_key, greatest(coalesce(ts_us - prev_us, 0), 0) // {v.UNIT_US} AS ipt FROM skewed",
+)
+def skewed_gaps(spark, sf):
+    packets, rows = _skewed(spark, sf)
+    return pk.packet_gaps(packets, ["flow_key"], v.UNIT_US, rows).select("packet_id", "flow_key", "ipt")
+
+
+@query(
+    "skewed_flows",
+    _SKEWED
+    + f"""
+    , s1 AS (SELECT *, prev_us IS NULL OR ts_us - prev_us > {v.IDLE_US} AS idle_new FROM skewed),
+    s2 AS (SELECT *, max(CASE WHEN idle_new THEN ts_us END) OVER (PARTITION BY flow_key ORDER BY ts_us, packet_id) AS start_us FROM s1),
+    s3 AS (
+      SELECT *, idle_new OR (ts_us - start_us) // {v.ACTIVE_US} <> (prev_us - start_us) // {v.ACTIVE_US} AS new_flow FROM s2
+    ),
+    s4 AS (
+      SELECT packet_id, flow_key, ts_us,
+             CAST(sum(CASE WHEN new_flow THEN 1 ELSE 0 END) OVER (PARTITION BY flow_key ORDER BY ts_us, packet_id) AS BIGINT) AS flow_no
+      FROM s3
+    )
+    SELECT packet_id, flow_key, flow_no,
+           row_number() OVER (PARTITION BY flow_key, flow_no ORDER BY ts_us, packet_id) - 1 AS position
+    FROM s4
+    """,
+)
+def skewed_flows(spark, sf):
+    packets, rows = _skewed(spark, sf)
+    labelled = pk.label_flows(packets, ["flow_key"], v.IDLE_US, v.ACTIVE_US, v.UNIT_US, rows)
+    return labelled.select("packet_id", "flow_key", "flow_no", "position")
+
+
+@query("skewed_windows", _SKEWED + "," + _WINDOWS.replace("FROM gaps", "FROM skewed"))
+def skewed_windows(spark, sf):
+    packets, rows = _skewed(spark, sf)
+    windows = pk.count_windows(packets, ["flow_key"], SEQUENCE_LENGTH, v.UNIT_US, rows)
+    return pk.sequence_rows(windows, ["flow_key", "window_no"], "sequence")
+
+
 @query(
     "flow_sequence",
     """
@@ -615,8 +680,8 @@ def tab_norm_stats(spark, sf):
         for x in ("ipt", "direction", "size")
     )
     + " FROM real) SELECT flow_key, flow_no, position, "
-    + ", ".join(f"round(({x} - (SELECT m_{x} FROM m)) / (SELECT s_{x} FROM m), 5) AS {x}" for x in ("ipt", "direction", "size"))
-    + " FROM logs",
+    + ", ".join(f"round(({x} - m_{x}) / s_{x}, 5) AS {x}" for x in ("ipt", "direction", "size"))
+    + " FROM logs CROSS JOIN m",
 )
 def zscore(spark, sf):
     samples = _samples(spark, sf, keep=KEY)
@@ -625,6 +690,27 @@ def zscore(spark, sf):
     return rows.withColumns({c: F.round(c, 5) for c in ("ipt", "direction", "size")})
 
 
+@query(
+    "zscore_tab",
+    ", vals AS (SELECT ID, APP, "
+    + ", ".join(f"{x} AS t{i}" for i, x in enumerate(SEQ_VALUES_SQL))
+    + " FROM flows WHERE APP IS NOT NULL), m AS (SELECT "
+    + ", ".join(
+        f"avg(t{i}) AS m{i}, sqrt(greatest(avg(t{i} * t{i}) - avg(t{i}) * avg(t{i}), 1e-6)) AS s{i}"
+        for i in range(len(SEQ_VALUES_SQL))
+    )
+    + " FROM vals) SELECT ID, "
+    + ", ".join(f"round((t{i} - m{i}) / s{i}, 5) AS z{i}" for i in range(len(SEQ_VALUES_SQL)))
+    + " FROM vals CROSS JOIN m",
+)
+def zscore_tab(spark, sf):
+    samples = _samples(spark, sf)
+    scaled = stats.Normalization.fit(samples, sequences.TABULAR_WIDTH).apply(samples)
+    return scaled.select(
+        "ID", *[F.round(F.get("tabular", F.lit(i)), 5).alias(f"z{i}") for i in range(sequences.TABULAR_WIDTH)]
+    )
+
+
 @query(
     "path_to_day",
     """

@@ -170,13 +170,13 @@ def class_weights(spark, sf):
 @query(
     "service_rollup",
     """
-    SELECT CAST(weekofyear(first_ts) AS INTEGER) AS week, day, APP, GROUPING(week, day, APP) AS level, count(*) AS flows
+    SELECT strftime(date_trunc('week', first_ts), '%Y-%m-%d') AS week, day, APP, GROUPING(week, day, APP) AS level, count(*) AS flows
     FROM flows GROUP BY ROLLUP (week, day, APP)
     """,
 )
 def service_rollup(spark, sf):
     flows = v.flows(spark, sf, text=False).select(
-        F.weekofyear("TIME_FIRST").alias("week"), F.col("day").cast("string").alias("day"), "APP"
+        F.date_format(F.date_trunc("week", "TIME_FIRST"), "yyyy-MM-dd").alias("week"), F.col("day").cast("string").alias("day"), "APP"
     )
     return census.service_rollup(flows, "week", "day", "APP")
 
@@ -246,7 +246,9 @@ _TYPES = ["click", "error", "purchase", "signup", "view"]
     + " FROM predictions GROUP BY y_true",
 )
 def confusion_matrix(spark, sf):
-    return metrics.confusion_matrix(v.predictions(spark, sf), _TYPES)
+    predictions = v.predictions(spark, sf)
+    guessed = Dictionary.fit(predictions.select("y_pred"), "y_pred").values()
+    return metrics.confusion_matrix(predictions, guessed)
 
 
 @query(
@@ -362,6 +364,22 @@ def running_accuracy(spark, sf):
     return rounded(metrics.running_accuracy(scored, "day", ["first_us", "head_id"], 10), "accuracy")
 
 
+@query(
+    "running_loss",
+    """
+    SELECT day, rows, correct, round(correct / rows, 6) AS accuracy, round(loss / rows, 6) AS loss FROM (
+      SELECT day, row_number() OVER w AS rows, sum(-ln(p_true)) OVER w AS loss,
+             CAST(sum(CASE WHEN y_true = y_pred THEN 1 ELSE 0 END) OVER w AS BIGINT) AS correct
+      FROM predictions WINDOW w AS (PARTITION BY day ORDER BY first_us, head_id))
+    WHERE rows % 10 = 0
+    """,
+)
+def running_loss(spark, sf):
+    scored = v.predictions(spark, sf).withColumn("day", F.col("day").cast("string"))
+    running = metrics.running_accuracy(scored, "day", ["first_us", "head_id"], 10, probability=F.col("p_true"))
+    return rounded(running, "accuracy", "loss")
+
+
 @query(
     "argmax_conf",
     """

@@ -94,3 +94,14 @@ def test_sample_larger_than_table(spark):
     assert sampling.sample_rows(spark.range(10), 50, "id").count() == 10
     assert sampling.sample_rows(spark.range(10), 0, "id").count() == 0
     assert sampling.sample_rows(spark.range(0), 5, "id").count() == 0
+
+
+def test_every_key_above_the_limit_is_split(spark):
+    """Many hot keys at once: the limit does not grow with the table, and results stay those of plain windows."""
+    rows = spark.range(60 * 90).select((F.col("id") % 60).alias("key"), F.col("id").alias("at"))
+    ordered = OrderedRows.of(rows, ["key"], ["at"], 50)
+    assert ordered._calm.count() == 0 and ordered._hot.count() == rows.count()
+    longest = ordered._hot.groupBy("key", "_range").count().agg(F.max("count")).first()[0]
+    assert longest <= 90
+    running = ordered.with_running(sums={"n": F.lit(1)}).frame()
+    assert running.filter(F.col("n") != F.floor(F.col("at") / 60) + 1).count() == 0
