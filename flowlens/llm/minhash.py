@@ -165,27 +165,32 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int,
 def star_components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of an undirected link table (a, b): the root is the component's smallest node.
 
-    Alternates large-star and small-star until the links no longer change; self-links and repeated
-    links do no harm. Each step is written out, and only a count and a checksum reach the driver.
+    Alternates large-star and small-star until every node hangs on one root; self-links and repeated
+    links do no harm. Each step is written out, and the driver only learns whether it was the last.
     """
     edges = settle(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
-    seen = None
-    while True:
-        mark = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
-        if mark == seen:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-                edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-            )
-        seen = mark
+    while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = settle(both.groupBy("u").agg(F.min("v").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-        large = settle(large.distinct(), "large")
+        large = settle(large, "large")
         least = settle(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = settle(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+        edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    )
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether no node has two smaller neighbours or both a smaller and a larger one."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("head")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("head"))
+    )
+    ends = ends.groupBy("node").agg(F.sum("child").alias("child"), F.max("head").alias("head"))
+    return ends.where("child > 1 OR child = 1 AND head = 1").isEmpty()
 
 
 def near_duplicates(

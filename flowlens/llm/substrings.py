@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowlens.llm import words as W
-from flowlens.llm.tables import documents, settle
+from flowlens.llm.tables import documents, release, settle
 
 WORDS = "space"
 WINDOW = 35
@@ -256,16 +256,17 @@ def repeated_passages(
     each = parsed.select(
         "doc_id", "text_key", F.posexplode(F.arrays_zip("anchors", "fulls")).alias("place", "phrase")
     ).select("doc_id", "text_key", "place", "phrase.anchors", "phrase.fulls")
-    each = each.withColumn("ticket", F.xxhash64("doc_id", "text_key", "place"))
+    ticket = F.xxhash64("doc_id", "text_key", "place")
 
     # The reference index: how often each phrase stands, and how many phrases share its anchor.
-    counted = each.groupBy("anchors", "fulls").agg(F.count("*").alias("n"), F.min("ticket").alias("chosen"))
+    counted = each.groupBy("anchors", "fulls").agg(F.count("*").alias("n"), F.min(ticket).alias("chosen"))
     counted = settle(counted, "reference")
     mixed = counted.groupBy("anchors").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchors")
     mixed = settle(mixed.withColumn("mixed", F.lit(True)), "mixed")
     index = settle(counted.join(mixed, "anchors", "left").where("n > 1 OR mixed").na.fill(False, ["mixed"]), "index")
+    release(counted, mixed)
 
-    kind = F.when(F.col("n") == 1, BOUNDARY).when(F.col("mixed") & (F.col("ticket") == F.col("chosen")), REFERENCE)
+    kind = F.when(F.col("n") == 1, BOUNDARY).when(F.col("mixed") & (ticket == F.col("chosen")), REFERENCE)
     marks = (
         each.join(index, ["anchors", "fulls"])
         .select("doc_id", "text_key", "place", kind.otherwise(FULL).alias("kind"))
@@ -286,6 +287,7 @@ def repeated_passages(
         .agg(F.collect_set("first").alias("repeats"))
     )
     repeats = settle(repeats, "repeats")
+    release(windows, twice, index)
     cleaned = _cleaned(
         pending.alias("d").join(repeats.alias("m"), _same_row("d", "m"), "left").select("d.*", "m.repeats"), width
     ).select(

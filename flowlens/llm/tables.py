@@ -18,11 +18,22 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """The rows written once as Parquet below spark.checkpoint.dir and read back.
 
     Cuts the lineage, survives lost executors and leaves a plain scan, so that a following join
-    may be split where it is skewed. Whoever owns the shared folder clears it after the job.
+    may be split where it is skewed. What a result still reads stays until the owner of the shared
+    folder clears it after the job; tables of earlier steps are deleted by `release`.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    settled = df.sparkSession.read.schema(df.schema).parquet(path)
+    settled._settled_at = path
+    return settled
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete settled tables that no later step reads: all that was made from them is settled itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._settled_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
