@@ -21,13 +21,17 @@ from flowlens.llm.tables import settle
 CANDIDATES = 2048
 QUERIES = 1024
 #: Points of a leaf.
-LEAF = 96
+LEAF = 128
 #: No score yet; its negative is a whole number, too.
 _LEAST = -np.iinfo(np.int64).max
 
 
 class CoverTree:
-    """Nested covers of some points: the children of a node lie within half its radius of their points."""
+    """Nested covers of some points: the points of a child lie within half the parent's radius of its centre.
+
+    A node has at most two children per leaf's worth of points; where they can't cover it that
+    closely, the radii are larger. Bounds use the radii as they are, so results stay exact.
+    """
 
     def __init__(self, points: np.ndarray):
         self.points = points
@@ -54,7 +58,7 @@ class CoverTree:
             return node
         half = self.radius[node] / 2
         nearest, which, centers = far.copy(), np.zeros(len(members), np.int64), [head]
-        while nearest.max() > half and len(centers) * LEAF < 4 * len(members):
+        while nearest.max() > half and len(centers) * LEAF < 2 * len(members):
             head = int(nearest.argmax())
             away = np.sqrt(((self.points[members] - self.points[members[head]]) ** 2).sum(axis=1))
             closer = away < nearest
