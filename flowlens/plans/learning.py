@@ -8,6 +8,7 @@ from flowlens.operators import models, sampling, scoring, sequences, stats, tabu
 from flowlens.operators.encode import Dictionary
 from flowlens.plans import views as v
 from flowlens.plans.registry import query, r6
+from flowlens.schema import FEATURE_COLUMNS
 from flowlens.session import scratch_path
 from flowlens.sources.writers import write_features
 
@@ -40,7 +41,7 @@ def _summary(name: str, model, rows: DataFrame) -> DataFrame:
 @query("model_dt")
 def model_dt(spark, sf):
     train, valid = features(spark, sf)
-    return _summary("decision tree", models.train(train, models.decision_tree(min_rows=20, depth=10)), valid)
+    return _summary("decision tree", models.train(train, models.decision_tree()), valid)
 
 
 @query("model_rf")
@@ -94,26 +95,73 @@ def score_requests(spark, sf):
 @query("score_batch")
 def score_batch(spark, sf):
     train, valid = features(spark, sf)
-    model = models.train(train, models.decision_tree(min_rows=20, depth=8))
+    model = models.train(train, models.decision_tree())
     return scoring.score_with_truth(model, valid, keep=["ID"])
 
 
 @query("evaluate")
 def evaluate(spark, sf):
     train, valid = features(spark, sf)
-    return scoring.evaluate(models.train(train, models.decision_tree(min_rows=20, depth=8)), valid)[1]
+    return scoring.evaluate(models.train(train, models.decision_tree()), valid)[1]
 
 
 @query("model_select")
 def model_select(spark, sf):
     train, valid = features(spark, sf)
-    candidates = {f"depth-{d}": models.decision_tree(min_rows=20, depth=d) for d in (2, 6)}
+    candidates = {f"leaf-{n}": models.decision_tree(min_rows=n) for n in (200, 50)}
     return models.select_best(candidates, train, valid, models.train)[2]
 
 
 @query("feature_importance")
 def feature_importance(spark, sf):
     train, _ = features(spark, sf)
-    return models.feature_importance(models.train(train, models.decision_tree(min_rows=20, depth=6)))
+    return models.feature_importance(models.train(train, models.decision_tree()))
 
 
+# The exact part of scoring and evaluation: which rows are scored, with which true label.
+_HELD = f"""
+    , classed AS (
+      SELECT ID, head_id, (CASE WHEN BYTES >= BYTES_REV THEN 'up' ELSE 'down' END) || '-'
+             || (CASE WHEN PACKETS + PACKETS_REV >= 6 THEN 'long' ELSE 'short' END) AS y_true FROM flows
+    ),
+    held AS (
+      SELECT * FROM (
+        SELECT *, row_number() OVER (
+                 PARTITION BY y_true ORDER BY head_id % {v.SCORE_RANGE} * {v.SCORE_FACTOR} % {v.SCORE_RANGE}, head_id
+               ) <= round(0.2 * count(*) OVER (PARTITION BY y_true)) AS chosen
+        FROM classed) WHERE chosen
+    )
+"""
+
+
+@query("score_rows", _HELD + "SELECT ID, y_true, true AS scored FROM held")
+def score_rows(spark, sf):
+    """Every validation row is scored once: a label that training knew and a confidence of 0 to 1."""
+    scored = score_batch(spark, sf)
+    fine = F.col("y_pred").isin("up-long", "up-short", "down-long", "down-short") & F.col("confidence").between(0, 1)
+    return scored.select("ID", "y_true", F.coalesce(fine, F.lit(False)).alias("scored"))
+
+
+@query("evaluate_support", _HELD + "SELECT y_true AS label, count(*) AS support FROM held GROUP BY y_true")
+def evaluate_support(spark, sf):
+    return evaluate(spark, sf).filter("support > 0").select("label", "support")
+
+
+@query("evaluate_loss", _HELD + "SELECT count(*) AS rows, true AS finite FROM held")
+def evaluate_loss(spark, sf):
+    train, valid = features(spark, sf)
+    loss = scoring.evaluate_loss(models.train(train, models.decision_tree()), valid)
+    fine = (F.col("log_loss") >= 0) & (F.col("log_loss") < 40) & (F.col("correct") <= F.col("rows"))
+    return loss.select("rows", fine.alias("finite"))
+
+
+@query(
+    "importance_total",
+    "SELECT " + str(len(FEATURE_COLUMNS)) + " AS features, true AS normalized",
+)
+def importance_total(spark, sf):
+    """One importance per feature; they sum to 1, or to 0 for a tree without a split."""
+    total = F.round(F.sum("importance"), 6)
+    return feature_importance(spark, sf).agg(
+        F.countDistinct("feature").cast("int").alias("features"), total.isin(0.0, 1.0).alias("normalized")
+    )

@@ -119,7 +119,7 @@ def st_replay(spark, sf):
 @query("st_score")
 def st_score(spark, sf):
     train, valid = learning.features(spark, sf)
-    model = models.train(train, models.decision_tree(min_rows=20, depth=6))
+    model = models.train(train, models.decision_tree())
     path = scratch_path(spark, "requests")
     valid.drop("is_validation").write.parquet(path)
     stream = st.read_stream(spark, path, valid.drop("is_validation").schema)

@@ -133,3 +133,20 @@ def test_split_is_a_partition(spark, sf):
 
 def test_schema_text():
     assert len(FLOW_SCHEMA.split(", ")) == 30
+
+
+def test_one_versus_rest_probabilities(spark):
+    """Boosting has margins only; its shares sum to 1, keep the margins' order and give a log loss."""
+    rows = spark.range(240).select(
+        (F.col("id") % 3).cast("string").alias("APP"),
+        (F.col("id") % 3 + F.rand(1) * 0.1).alias("x"),
+        F.rand(2).alias("y"),
+    )
+    model = models.train(rows, models.boosting(rounds=2, depth=2, bins=8), features=["x", "y"])
+    scored = scoring.with_probabilities(models.scorer(model).transform(rows))
+    found = scored.select("probabilities", "prediction").collect()
+    assert all(abs(sum(r.probabilities) - 1) < 1e-9 for r in found)
+    assert all(max(range(3), key=r.probabilities.__getitem__) == int(r.prediction) for r in found)
+    loss = scoring.evaluate_loss(model, rows).first()
+    assert loss["rows"] == 240 and loss["correct"] > 200 and 0 < loss["log_loss"] < 1.1, loss
+    assert scoring.score(model, rows).where("confidence IS NULL").count() == 0
