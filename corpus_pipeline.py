@@ -30,8 +30,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     recognised and every document goes.
     """
     model = langid.train(table(spark, sf_dir, "documents"), key=F.xxhash64("doc_id"))
-    return langid.identify(docs, model, pred_col="_lang", score_col="_score", shares_col="_shares").where(
-        F.col("_lang") != langid.UNKNOWN
+    return langid.identify(docs, model, pred_col="__lang", score_col="__score", shares_col="__shares").where(
+        F.col("__lang") != langid.UNKNOWN
     ).select(*docs.columns)
 
 

@@ -178,4 +178,4 @@ def identify(
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     found = F.arrow_udf(run, schema)(text)
     kept = docs.drop(pred_col, score_col, shares_col)
-    return kept.withColumn("_found", found).select(*kept.columns, "_found.*")
+    return kept.withColumn("__language", found).select(*kept.columns, "__language.*")

@@ -81,27 +81,27 @@ def drop_boilerplate(
     """
     lines = boilerplate(docs, site_col, text_col, min_sites, min_chars)
     text = F.col(text_col).cast("string")
-    keyed = docs.drop("n_lines", "n_removed").withColumn("_text_key", F.xxhash64(text))
+    keyed = docs.drop("n_lines", "n_removed").withColumn("__boiler_key", F.xxhash64(text))
     each = keyed.select(
-        F.col(id_col).alias("_id"), "_text_key", F.posexplode(_lines(text)).alias("place", "line")
+        F.col(id_col).alias("__boiler_id"), "__boiler_key", F.posexplode(_lines(text)).alias("place", "line")
     )
     each = _hashed(each.withColumn("line", _key(F.col("line"))).where(F.length("line") >= min_chars)).drop("line")
     gone = (
         each.join(lines, ["h1", "h2"])
-        .groupBy("_id", "_text_key")
-        .agg(F.collect_set("place").alias("_gone"))
-        .withColumnRenamed("_text_key", "_gone_key")
+        .groupBy("__boiler_id", "__boiler_key")
+        .agg(F.collect_set("place").alias("__boiler_places"))
+        .withColumnRenamed("__boiler_key", "__boiler_text")
     )
     gone = settle(gone, "gone")
-    joined = keyed.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_gone_key")), "left")
+    joined = keyed.join(gone, F.col(id_col).eqNullSafe(F.col("__boiler_id")) & (F.col("__boiler_key") == F.col("__boiler_text")), "left")
     parts = _lines(text)
     places = F.sequence(F.lit(0), F.size(parts) - 1)
-    kept = F.array_join(F.transform(F.array_except(places, "_gone"), lambda i: F.get(parts, i)), "\n")
+    kept = F.array_join(F.transform(F.array_except(places, "__boiler_places"), lambda i: F.get(parts, i)), "\n")
     return (
         joined.withColumn("n_lines", F.coalesce(F.when(text.isNotNull(), F.size(parts)), F.lit(0)).cast("long"))
-        .withColumn("n_removed", F.coalesce(F.when(F.col("_gone").isNotNull(), F.size("_gone")), F.lit(0)).cast("long"))
-        .withColumn(text_col, F.when(F.col("_gone").isNull(), text).otherwise(kept))
-        .drop("_id", "_text_key", "_gone", "_gone_key")
+        .withColumn("n_removed", F.coalesce(F.when(F.col("__boiler_places").isNotNull(), F.size("__boiler_places")), F.lit(0)).cast("long"))
+        .withColumn(text_col, F.when(F.col("__boiler_places").isNull(), text).otherwise(kept))
+        .drop("__boiler_id", "__boiler_key", "__boiler_places", "__boiler_text")
     )
 
 

@@ -143,9 +143,10 @@ def test_boilerplate(spark):
     rows = [(i, f"own line number {i}\n  {shared} \n{near if i < 9 else 'x'}\nshort", f"s{i}", 1) for i in range(12)]
     rows += [(50, shared, None, 1), (50, shared, None, 1), (None, None, "s1", 1), (51, "", "s1", 1)]
     rows += [(60 + i, "many times on one site only", "s0", 1) for i in range(40)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_lines int").repartition(4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _id int").repartition(4)
+    docs = docs.selectExpr("*", "_id AS n_lines", "_id AS line", "_id AS h1")
     got = lines.drop_boilerplate(docs)
-    assert got.columns == ["doc_id", "text", "source", "n_lines", "n_removed"]
+    assert got.columns == ["doc_id", "text", "source", "_id", "line", "h1", "n_lines", "n_removed"]
     found = {}
     for r in got.collect():
         found.setdefault(r.doc_id, []).append((r.text, r.n_lines, r.n_removed))
