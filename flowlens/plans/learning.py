@@ -47,21 +47,20 @@ def model_dt(spark, sf):
 @query("model_rf")
 def model_rf(spark, sf):
     train, valid = features(spark, sf)
-    forest = models.random_forest(trees=20, depth=8)
+    forest = models.random_forest()
     return _summary("random forest", models.train(train, forest, balanced=True), valid)
 
 
 @query("model_rf_hist")
 def model_rf_hist(spark, sf):
     train, valid = features(spark, sf)
-    return _summary("histogram forest", models.train(train, models.histogram_forest(trees=10, depth=8)), valid)
+    return _summary("histogram forest", models.train(train, models.histogram_forest()), valid)
 
 
 @query("model_gbt_ovr")
 def model_gbt_ovr(spark, sf):
     train, valid = features(spark, sf)
-    booster = models.boosting(rounds=3, depth=4, bins=32)
-    return _summary("boosting", models.train(train, booster), valid)
+    return _summary("boosting", models.train(train, models.boosting()), valid)
 
 
 def _network(spark, sf):
@@ -73,7 +72,7 @@ def _network(spark, sf):
     normalization = stats.Normalization.fit(train, sequences.TABULAR_WIDTH)
     known = versions.frame.count()
     inputs = models.network_inputs(normalization.apply(train), known)
-    network = models.perceptron(models.network_width(known), 4, hidden=(16,), rounds=40)
+    network = models.perceptron(models.network_width(known), 4)
     return models.train_vectors(inputs, network), normalization, known, valid
 
 
