@@ -1,7 +1,8 @@
 """Removal of boilerplate lines by the number of distinct sites they stand on.
 
-Each line gets a 128-bit hash. HyperLogLog sketches of the sites are built per hash next to the
-scan and merged by the aggregation, so a line of any frequency costs one small sketch per task.
+Each line that is not empty gets a 128-bit hash. HyperLogLog sketches of the sites are built per
+hash next to the scan and merged by the aggregation, so a line of any frequency costs one small
+sketch per task.
 Lines whose estimate is clearly above the threshold are boilerplate; lines within the error of the
 sketch are counted exactly, over their distinct (line, site) pairs only. Everything is built-in
 expressions.
@@ -13,8 +14,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from flowlens.llm.tables import settle
 
+#: A line is boilerplate from so many sites on, or from so many hundredths of all sites where that is less.
 MIN_SITES = 10
-#: Shorter lines, without the white space around them, are never boilerplate.
+SITE_PERCENT = 80
+#: Shorter lines, without the white space around them, must also occur more often: for each missing
+#: character, as many times again as a line needs sites.
 MIN_CHARS = 12
 #: log2 of the sketch registers: a relative standard error of 1.6 %.
 REGISTERS = 12
@@ -26,29 +30,46 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def sites_needed(docs: DataFrame, site_col: str = "source", min_sites: int = MIN_SITES) -> int:
+    """`min_sites`, or SITE_PERCENT of the distinct sites where that is less; never below two."""
+    enough = -(-min_sites * 100 // SITE_PERCENT)
+    found = docs.select(F.col(site_col).cast("string").alias("site")).where("site IS NOT NULL").distinct().limit(enough).count()
+    return max(2, min(min_sites, -(-found * SITE_PERCENT // 100)))
+
+
 def boilerplate(
     docs: DataFrame, site_col: str = "source", text_col: str = "text", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS
 ) -> DataFrame:
-    """(h1, h2) of the lines that stand on at least `min_sites` distinct sites; null sites count for none."""
+    """(h1, h2) of the lines that stand on enough distinct sites, and often enough for their length.
+
+    Null sites count for none; how many sites are enough says `sites_needed`. A line of `min_chars`
+    characters or more needs as many occurrences as sites, so only shorter ones need more.
+    """
+    needed = sites_needed(docs, site_col, min_sites)
     each = docs.select(
         F.col(site_col).cast("string").alias("site"), F.explode(_lines(F.col(text_col).cast("string"))).alias("line")
     )
-    each = _hashed(each.withColumn("line", _key(F.col("line"))).where(F.length("line") >= min_chars)).drop("line")
-    each = each.where("site IS NOT NULL")
+    each = each.where("site IS NOT NULL").withColumn("line", _key(F.col("line"))).where("line != ''")
+    each = _hashed(each).withColumn("least", needed * F.greatest(F.lit(1), min_chars + 1 - F.length("line"))).drop("line")
     spread = settle(
         each.groupBy("h1", "h2")
-        .agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(REGISTERS))).alias("sites"))
-        .where(F.col("sites") >= int(min_sites * (1 - BAND))),
+        .agg(
+            F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(REGISTERS))).alias("sites"),
+            F.count("*").alias("times"),
+            F.max("least").alias("least"),
+        )
+        .where((F.col("sites") >= int(needed * (1 - BAND))) & (F.col("times") >= F.col("least"))),
         "spread",
     )
-    sure = spread.where(F.col("sites") > min_sites * (1 + BAND) + 1).select("h1", "h2")
-    near = spread.where(F.col("sites") <= min_sites * (1 + BAND) + 1).select("h1", "h2")
+    sure = spread.where(F.col("sites") > needed * (1 + BAND) + 1).select("h1", "h2")
+    near = spread.where(F.col("sites") <= needed * (1 + BAND) + 1).select("h1", "h2")
     exact = (
         each.join(near, ["h1", "h2"], "left_semi")
+        .select("h1", "h2", "site")
         .distinct()
         .groupBy("h1", "h2")
         .agg(F.count("*").alias("sites"))
-        .where(F.col("sites") >= min_sites)
+        .where(F.col("sites") >= needed)
         .select("h1", "h2")
     )
     return settle(sure.unionByName(exact), "boilerplate")
@@ -60,7 +81,8 @@ def _key(line: Column) -> Column:
 
 
 def _hashed(df: DataFrame) -> DataFrame:
-    return df.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64("line", F.lit(1)))
+    # The hash is chained over its arguments: only with the literal first is h2 no function of h1.
+    return df.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
 
 
 def drop_boilerplate(
@@ -85,7 +107,7 @@ def drop_boilerplate(
     each = keyed.select(
         F.col(id_col).alias("__boiler_id"), "__boiler_key", F.posexplode(_lines(text)).alias("place", "line")
     )
-    each = _hashed(each.withColumn("line", _key(F.col("line"))).where(F.length("line") >= min_chars)).drop("line")
+    each = _hashed(each.withColumn("line", _key(F.col("line"))).where("line != ''")).drop("line")
     gone = (
         each.join(lines, ["h1", "h2"])
         .groupBy("__boiler_id", "__boiler_key")

@@ -163,3 +163,25 @@ def test_boilerplate_estimates_and_exact_counts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     out = lines.drop_boilerplate(docs, min_sites=1000).where("n_removed > 0").select("doc_id").distinct()
     assert sorted(r.doc_id for r in out.collect()) == [2, 3, 4]
+
+
+def test_short_lines_are_boilerplate_when_they_recur(spark):
+    """On 20 sites 'Les.' needs nine times ten occurrences, 'Le treque.' three times, 'Oh' eleven times."""
+    text = lambda s, i: f"Text {s} {i}\n" + ("\nOh" if i == 0 else "")
+    rows = [(s * 10 + i, f"Les.\n Le treque.\n{text(s, i)}", f"s{s}") for s in range(20) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.text, r.n_removed) for r in lines.drop_boilerplate(docs).collect()}
+    assert got == {s * 10 + i: (text(s, i), 2) for s in range(20) for i in range(5)}
+
+
+def test_boilerplate_of_few_sites(spark):
+    rows = [(s, f"This line is on every site.\nThis one is on two sites only.\n{s}" if s < 2 else f"This line is on every site.\n{s}", f"s{s}") for s in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert lines.sites_needed(docs) == 4 and lines.sites_needed(docs.where("source = 's0'")) == 2
+    got = {r.doc_id: r.text for r in lines.drop_boilerplate(docs).collect()}
+    assert got == {0: "This one is on two sites only.\n0", 1: "This one is on two sites only.\n1", 2: "2", 3: "3"}
+
+
+def test_line_hashes_are_independent(spark):
+    row = lines._hashed(spark.sql("SELECT 'a line' AS line")).selectExpr("h2", "xxhash64(1, 'a line') AS own", "xxhash64('a line', 1) AS chained").first()
+    assert row.h2 == row.own != row.chained
