@@ -3,7 +3,7 @@
 Base patterns are matched by Spark's regular expressions. The entropy part takes candidate
 strings (long runs over an alphabet), slides a window over each, keeps the counts of the window's
 characters up to date by one step in and one step out, and marks windows whose Shannon entropy
-reaches the threshold of the alphabet. Candidates on the allow list are left out. Entropy is kept
+reaches the threshold of the alphabet. Candidates that consist of words, numbers or alphabets are left out. Entropy is kept
 as an integer sum of c*log2(c), so every engine finds the same windows.
 """
 
@@ -32,6 +32,8 @@ class Alphabet:
     letters: str
     window: int
     bits: float
+    #: What a candidate has to hold besides.
+    holds: str = ""
 
     @property
     def run(self) -> str:
@@ -58,7 +60,18 @@ ALLOWED = (
     r"(?i)^(?:0123456789|abcdefghijklm|nopqrstuvwxyz|example|sample|test|dummy|placeholder)",
 )
 
-KINDS = ("assign", "access", "hex", *(a.name for a in ALPHABETS))
+#: Classes beside those of the SQL twin. A URL-safe run has a hyphen or low line; others are base64 already.
+FURTHER = (
+    Alphabet("entropy_hex_upper", "0123456789ABCDEF", 24, 3.2),
+    Alphabet("entropy_urlsafe", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-", 24, 4.1, "[_-]"),
+)
+
+#: What the scan leaves out: as the allow list, but stock words and alphabets only where they make up
+#: the whole candidate, so that no random rest goes with them.
+STOCK = r"(?i)^(?:0123456789|abcdefghijklm|nopqrstuvwxyz|abcdef|example|sample|test|dummy|placeholder|[-_+/])++$"
+LEFT_OUT = (*ALLOWED[:-1], STOCK)
+
+KINDS = ("assign", "access", "hex", *(a.name for a in ALPHABETS + FURTHER))
 
 
 def weights(window: int) -> list[int]:
@@ -167,8 +180,8 @@ def _hot_windows(word: Column, alphabet: Alphabet) -> Column:
 
 
 def _entropy(text: Column, alphabet: Alphabet) -> Column:
-    allowed = lambda word: F.lit(False) if not ALLOWED else _any([word.rlike(p) for p in ALLOWED])
-    candidates = F.filter(_found(text, alphabet.run), lambda m: ~allowed(m["word"]))
+    fit = lambda word: ~_any([word.rlike(p) for p in LEFT_OUT]) & (word.rlike(alphabet.holds) if alphabet.holds else F.lit(True))
+    candidates = F.filter(_found(text, alphabet.run), lambda m: fit(m["word"]))
     return F.flatten(
         F.transform(
             candidates,
@@ -203,7 +216,7 @@ def scan(docs: DataFrame, text_col: str = "text", out_col: str = "secrets") -> D
         assign,
         _whole("access", _found(text, ACCESS)),
         _whole("hex", _found(text, HEX)),
-        *(_entropy(text, a) for a in ALPHABETS),
+        *(_entropy(text, a) for a in ALPHABETS + FURTHER),
     ]
     return docs.withColumn(out_col, F.array_sort(F.concat(*spans)))
 

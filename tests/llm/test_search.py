@@ -53,6 +53,21 @@ def test_secrets_equal_brute_force(spark):
         assert got == _spans(row.text), row.text[:100]
 
 
+def test_secret_classes_and_stock_words(spark):
+    """Upper-case hex, URL-safe tokens and random rests after stock words are found; stock words alone are not."""
+    upper, safe = "9F86D081884C7D659A2FEAA0C55AD015", "wJalrXUtn-FEMIK7_MDENGbPxRf-iCYzK3Yq9v8"
+    rest = "wJalrXUtnFEMIK7MDENGbPxRfiCYzK3Yq9v8"
+    texts = [upper, safe, "test" + rest, "0123456789" + rest, "0123456789abcdef" * 3, "exampleplaceholder_sample-test", "test" * 50_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: {s["kind"]: (s["start"], s["end"]) for s in r.secrets} for r in secrets.scan(docs).collect()}
+    assert got[0] == {"entropy_hex_upper": (0, 32)}
+    assert set(got[1]) == {"entropy_urlsafe"} and got[1]["entropy_urlsafe"][1] == len(safe)
+    for i in (2, 3):
+        assert set(got[i]) == {"entropy_base64"} and got[i]["entropy_base64"][1] == len(texts[i])
+    # The base pattern for hex still takes the repeated alphabet; its entropy is not looked at.
+    assert set(got[4]) == {"hex"} and not got[5] and not got[6]
+
+
 def test_secret_edges(spark):
     docs = spark.createDataFrame([(1, "token=abcdefghij", "x"), (1, "token=abcdefghij", "x"), (None, None, None)], "doc_id long, text string, secrets string")
     out = secrets.scan(docs)
