@@ -27,9 +27,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     The model learns from the labelled rows of `documents`; the label of a row is never an input of
     its own prediction. Nothing else is dropped and no column changes. Without labels nothing can be
-    recognised and every document goes.
+    recognised, and every text with a letter stays.
     """
     model = langid.train(table(spark, sf_dir, "documents"), key=F.xxhash64("doc_id"))
+    if not model.names:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     return langid.identify(docs, model, pred_col="__lang", score_col="__score", shares_col="__shares").where(
         F.col("__lang") != langid.UNKNOWN
     ).select(*docs.columns)

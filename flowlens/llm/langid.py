@@ -3,7 +3,8 @@
 Each language is a distribution over hashed byte trigrams of words. A text is a mixture: the words
 are drawn from languages in unknown proportions, which expectation-maximisation estimates from the
 words' likelihoods. How many languages a text has is chosen by penalised likelihood among nested
-sets of its strongest languages. The prediction is the language with the largest proportion.
+sets of its strongest languages, from one up to all. The prediction is the language with the largest
+proportion.
 """
 
 from __future__ import annotations
@@ -23,9 +24,8 @@ from flowlens.llm.tables import checked_broadcast
 CELLS = 1 << 15
 #: At most about this many labelled rows are learned from, picked by a hash of their ids.
 TRAIN_ROWS = 20_000
-#: Languages a text may hold, and the rounds of estimation.
-LARGEST_SET = 3
-ROUNDS = 12
+#: Estimation ends for a text when no proportion moves by more than this in a round.
+SETTLED = 1e-4
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -98,13 +98,23 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows:
     return Languages(names, np.log(counts / counts.sum(axis=0)) if names else counts)
 
 
-def _mixture(p: np.ndarray, doc: np.ndarray, heads: np.ndarray, n: np.ndarray, allowed: np.ndarray, rounds: int):
-    """Proportions and log likelihood of each text; `allowed` marks the languages of its set."""
+def _mixture(p: np.ndarray, doc: np.ndarray, heads: np.ndarray, n: np.ndarray, allowed: np.ndarray):
+    """Proportions and log likelihood of each text; `allowed` marks the languages of its set.
+
+    Each text has as many rounds as it needs by itself, so its neighbours do not change its result.
+    """
     share = allowed / allowed.sum(axis=1, keepdims=True)
-    for _ in range(rounds):
-        part = p * share[doc]
+    going, rows, of, first = np.arange(len(n)), p, doc, heads
+    while len(going):
+        part = rows * share[going][of]
         part /= part.sum(axis=1, keepdims=True)
-        share = np.add.reduceat(part, heads, axis=0) / n[:, None]
+        new = np.add.reduceat(part, first, axis=0) / n[going][:, None]
+        still = np.abs(new - share[going]).max(axis=1) > SETTLED
+        share[going] = new
+        if not still.all():
+            rows, going = rows[still[of]], going[still]
+            of = np.repeat(np.arange(len(going)), n[going])
+            first = np.cumsum(n[going]) - n[going]
     fit = np.add.reduceat(np.log((p * share[doc]).sum(axis=1)), heads)
     return share, fit
 
@@ -124,13 +134,17 @@ def proportions(model: Languages, texts: list[str | None]) -> np.ndarray:
         each = np.add.reduceat(model.cells[cells], total[:-1], axis=0)
         each = np.exp(np.maximum(each - each.max(axis=1, keepdims=True), -60.0))[back]
         n, heads, doc = counts[full], bounds[:-1][full], np.repeat(np.arange(len(full)), counts[full])
-        share, _ = _mixture(each, doc, heads, n, np.ones((len(full), len(model.names))), ROUNDS)
+        share, most = _mixture(each, doc, heads, n, np.ones((len(full), len(model.names))))
         rank = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1)
         best, score = None, None
-        for size in range(1, min(LARGEST_SET, len(model.names)) + 1):
-            part, fit = _mixture(each, doc, heads, n, (rank < size).astype(float), 1 if size == 1 else ROUNDS)
-            # Each further language has to pay for one more free proportion and its choice.
-            value = fit - (size - 1) * (0.5 * np.log(n) + np.log(len(model.names)))
+        # Each further language has to pay for one more free proportion and its choice.
+        price = 0.5 * np.log(n) + np.log(len(model.names))
+        for size in range(1, len(model.names) + 1):
+            # No set fits better than all languages together, up to what is left of the estimation.
+            if best is not None and (most + SETTLED * n - (size - 1) * price <= score).all():
+                break
+            part, fit = _mixture(each, doc, heads, n, (rank < size).astype(float))
+            value = fit - (size - 1) * price
             if best is None:
                 best, score = part, value
             else:

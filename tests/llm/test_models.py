@@ -1,5 +1,6 @@
 """Language identification and toxicity: held-out accuracy, mixtures and edge cases."""
 
+import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -32,6 +33,24 @@ def test_language_mixture_and_edges(spark):
     assert {r.lang_pred for r in langid.identify(docs, nothing).collect()} == {"und"}
 
 
+def test_text_of_five_languages(spark):
+    words = {"aa": "kato mika toka", "bb": "wersh blint quorsh", "cc": "zuzy vyzu yvuz", "dd": "dodeg gedod dagge", "ee": "finnin innif nifin"}
+    model = langid.train(spark.createDataFrame([(t, lang) for lang, t in words.items()], "text string, lang string"))
+    counts = dict(zip(words, (90, 60, 50, 40, 30)))
+    mixed = " ".join(f"{words[lang]} " * (n // 3) for lang, n in counts.items())
+    share = langid.proportions(model, [mixed, "kato mika", mixed])
+    assert np.allclose(share[0], [n / 270 for n in counts.values()], atol=0.02)
+    # A text's result does not hang on its neighbours.
+    assert np.array_equal(share[0], share[2]) and np.allclose(share[0], langid.proportions(model, [mixed])[0], atol=1e-12)
+    assert (share[1] > 0).sum() == 1
+
+
+def test_language_stage_without_labels(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "Ein Text", None), (2, None, None), (3, "12 !", None), (4, "слово", None)], "doc_id long, text string, lang string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r.doc_id for r in corpus_pipeline.language_stage(spark, docs, str(tmp_path)).collect()) == [1, 4]
+
+
 def test_toxicity_held_out(spark):
     found = queries.op9_toxicity(spark, DATA)
     labels = spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", "toxic")
