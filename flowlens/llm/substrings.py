@@ -1,16 +1,14 @@
-"""Removal of repeated passages by relative Lempel-Ziv parsing over a distributed reference index.
+"""Removal of repeated passages by phrases cut at anchors and counts of phrase and window hashes.
 
-The whole corpus is the reference. A text is cut into phrases at content-defined anchors: the
+A text is cut into phrases at content-defined anchors: the
 smallest hash among the short word groups of a window picks the anchor, so two equal windows have
 equal anchors wherever they stand, and every window belongs to the one phrase that holds it
-together with its anchor. Phrases are indexed in reference blocks, the hash partitions of their
-anchors.
-
-Parsing a document against the blocks is greedy: a phrase that stands elsewhere as a whole joins
-the factor that runs up to it, and factors of full phrases are at least one window long, so all
-their words are repeated. A factor ends at a phrase whose anchor is known but whose words differ
-from every other phrase of that anchor. These factor boundaries alone are checked window by
-window, against the windows of all phrases of the same anchor. Windows with an anchor of their
+together with its anchor. Phrases are grouped by the hash of their anchor.
+
+A phrase that stands elsewhere as a whole has all its windows repeated. Where the anchor is known
+but the words differ from every other phrase of that anchor, the phrase is checked window by window
+against the windows of all phrases of the same anchor. This replaces a relative Lempel-Ziv parse:
+no longest match is searched and no factor is formed. Windows with an anchor of their
 own occur once and are never looked at again.
 """
 
