@@ -8,7 +8,21 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowlens.llm import decontam, langid, lines, minhash, secrets, sentencepieces, substrings, token_counts, topk, toxicity
+from flowlens.llm import (
+    audit,
+    decontam,
+    langid,
+    lines,
+    minhash,
+    quality,
+    runs,
+    secrets,
+    sentencepieces,
+    substrings,
+    token_counts,
+    topk,
+    toxicity,
+)
 from flowlens.llm.tables import documents, table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -84,6 +98,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged, _ = quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *quality.BASE, "base_failed", "kept")
+
+
+def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.find_runs(runs.with_planted_runs(table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_topk": op2_topk,
@@ -95,6 +122,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
+    "op11_quality": op11_quality,
+    "op12_audit": op12_audit,
+    "op13_runs": op13_runs,
     "pipeline": corpus_pipeline.run,
 }
 SQL: dict[str, str] = {
@@ -104,4 +134,6 @@ SQL: dict[str, str] = {
     "op7_substring": substrings.oracle_sql(),
     "op8_secrets": secrets.oracle_sql(),
     "op10_decontamination": decontam.oracle_sql(),
+    "op12_audit": audit.oracle_sql(),
+    "op13_runs": runs.oracle_sql(),
 }
