@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowlens.llm.tables import settle
+from flowlens.llm.tables import settle, unused
 
 #: A line is boilerplate from so many sites on, or from so many hundredths of all sites where that is less.
 MIN_SITES = 10
@@ -103,33 +103,37 @@ def drop_boilerplate(
     """
     lines = boilerplate(docs, site_col, text_col, min_sites, min_chars)
     text = F.col(text_col).cast("string")
-    keyed = docs.drop("n_lines", "n_removed").withColumn("__boiler_key", F.xxhash64(text))
+    kept = docs.drop("n_lines", "n_removed")
+    key, own_id, own_text, own_places = unused(kept, "__boiler_key", "__boiler_id", "__boiler_text", "__boiler_places")
+    keyed = kept.withColumn(key, F.xxhash64(text))
     each = keyed.select(
-        F.col(id_col).alias("__boiler_id"), "__boiler_key", F.posexplode(_lines(text)).alias("place", "line")
+        F.col(id_col).alias(own_id), F.col(key).alias(own_text), F.posexplode(_lines(text)).alias("place", "line")
     )
     each = _hashed(each.withColumn("line", _key(F.col("line"))).where("line != ''")).drop("line")
     gone = (
         each.join(lines, ["h1", "h2"])
-        .groupBy("__boiler_id", "__boiler_key")
-        .agg(F.collect_set("place").alias("__boiler_places"))
-        .withColumnRenamed("__boiler_key", "__boiler_text")
+        .groupBy(own_id, own_text)
+        .agg(F.collect_set("place").alias(own_places))
     )
     gone = settle(gone, "gone")
-    joined = keyed.join(gone, F.col(id_col).eqNullSafe(F.col("__boiler_id")) & (F.col("__boiler_key") == F.col("__boiler_text")), "left")
+    joined = keyed.join(gone, F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col(key) == F.col(own_text)), "left")
     parts = _lines(text)
     places = F.sequence(F.lit(0), F.size(parts) - 1)
-    kept = F.array_join(F.transform(F.array_except(places, "__boiler_places"), lambda i: F.get(parts, i)), "\n")
+    left = F.array_join(F.transform(F.array_except(places, own_places), lambda i: F.get(parts, i)), "\n")
     return (
         joined.withColumn("n_lines", F.coalesce(F.when(text.isNotNull(), F.size(parts)), F.lit(0)).cast("long"))
-        .withColumn("n_removed", F.coalesce(F.when(F.col("__boiler_places").isNotNull(), F.size("__boiler_places")), F.lit(0)).cast("long"))
-        .withColumn(text_col, F.when(F.col("__boiler_places").isNull(), text).otherwise(kept))
-        .drop("__boiler_id", "__boiler_key", "__boiler_places", "__boiler_text")
+        .withColumn("n_removed", F.coalesce(F.when(F.col(own_places).isNotNull(), F.size(own_places)), F.lit(0)).cast("long"))
+        .withColumn(text_col, F.when(F.col(own_places).isNull(), text).otherwise(left))
+        .drop(own_id, key, own_places, own_text)
     )
 
 
 def oracle_sql(min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> str:
     return rf"""
-WITH split AS (
+WITH needed AS (
+  SELECT greatest(2, least({min_sites}, (count(DISTINCT source) * {SITE_PERCENT} + 99) // 100)) AS sites FROM documents
+),
+split AS (
   SELECT doc_id, source, string_split(text, chr(10)) AS lines FROM documents
 ),
 each AS (
@@ -137,10 +141,16 @@ each AS (
 ),
 keyed AS (SELECT *, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS k FROM each),
 spread AS (
-  SELECT k FROM keyed WHERE length(k) >= {min_chars} GROUP BY k HAVING count(DISTINCT source) >= {min_sites}
+  SELECT k FROM keyed, needed WHERE k <> '' AND source IS NOT NULL
+  GROUP BY k, sites
+  HAVING count(DISTINCT source) >= sites AND count(*) >= sites * greatest(1, {min_chars} + 1 - length(k))
+),
+cut AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE s.k IS NOT NULL) AS n_removed,
+         string_agg(line, chr(10) ORDER BY place) FILTER (WHERE s.k IS NULL) AS kept
+  FROM keyed LEFT JOIN spread s ON keyed.k = s.k
+  GROUP BY doc_id
 )
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE s.k IS NOT NULL) AS n_removed,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE s.k IS NULL), '')) AS kept_sha256
-FROM keyed LEFT JOIN spread s ON keyed.k = s.k
-GROUP BY doc_id
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN cut ON d.doc_id = cut.doc_id
 """

@@ -46,32 +46,26 @@ class Alphabet:
         return math.floor(SCALE * self.window * (math.log2(self.window) - self.bits))
 
 
+_BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+#: A URL-safe run has a hyphen or low line; others are base64 already.
 ALPHABETS = (
     Alphabet("entropy_hex", "0123456789abcdef", 24, 3.2),
-    Alphabet("entropy_base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 24, 4.1),
+    Alphabet("entropy_base64", _BASE64 + "+/", 24, 4.1),
+    Alphabet("entropy_hex_upper", "0123456789ABCDEF", 24, 3.2),
+    Alphabet("entropy_urlsafe", _BASE64 + "_-", 24, 4.1, "[_-]"),
 )
 
-#: Allow list: candidates that look random but are none, such as words, numbers and alphabets.
+#: Allow list: candidates that look random but are none. Stock words and alphabets count only where
+#: they make up the whole candidate, so that no random rest goes with them.
 ALLOWED = (
     r"^[A-Za-z]?[a-z]*$",
     r"^[A-Z]*$",
     r"^[0-9]*$",
     r"^[A-Za-z]+/[A-Za-z/]*$",
-    r"(?i)^(?:0123456789|abcdefghijklm|nopqrstuvwxyz|example|sample|test|dummy|placeholder)",
-)
-
-#: Classes beside those of the SQL twin. A URL-safe run has a hyphen or low line; others are base64 already.
-FURTHER = (
-    Alphabet("entropy_hex_upper", "0123456789ABCDEF", 24, 3.2),
-    Alphabet("entropy_urlsafe", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-", 24, 4.1, "[_-]"),
+    r"(?i)^(?:0123456789|abcdefghijklm|nopqrstuvwxyz|abcdef|example|sample|test|dummy|placeholder|[-_+/])+$",
 )
 
-#: What the scan leaves out: as the allow list, but stock words and alphabets only where they make up
-#: the whole candidate, so that no random rest goes with them.
-STOCK = r"(?i)^(?:0123456789|abcdefghijklm|nopqrstuvwxyz|abcdef|example|sample|test|dummy|placeholder|[-_+/])++$"
-LEFT_OUT = (*ALLOWED[:-1], STOCK)
-
-KINDS = ("assign", "access", "hex", *(a.name for a in ALPHABETS + FURTHER))
+KINDS = ("assign", "access", "hex", *(a.name for a in ALPHABETS))
 
 
 def weights(window: int) -> list[int]:
@@ -179,8 +173,13 @@ def _hot_windows(word: Column, alphabet: Alphabet) -> Column:
     )
 
 
+def _possessive(pattern: str) -> str:
+    """The pattern without a way back into its repetitions, which long candidates would overflow the stack with."""
+    return pattern.replace(")+$", ")++$")
+
+
 def _entropy(text: Column, alphabet: Alphabet) -> Column:
-    fit = lambda word: ~_any([word.rlike(p) for p in LEFT_OUT]) & (word.rlike(alphabet.holds) if alphabet.holds else F.lit(True))
+    fit = lambda word: ~_any([word.rlike(_possessive(p)) for p in ALLOWED]) & (word.rlike(alphabet.holds) if alphabet.holds else F.lit(True))
     candidates = F.filter(_found(text, alphabet.run), lambda m: fit(m["word"]))
     return F.flatten(
         F.transform(
@@ -216,7 +215,7 @@ def scan(docs: DataFrame, text_col: str = "text", out_col: str = "secrets") -> D
         assign,
         _whole("access", _found(text, ACCESS)),
         _whole("hex", _found(text, HEX)),
-        *(_entropy(text, a) for a in ALPHABETS + FURTHER),
+        *(_entropy(text, a) for a in ALPHABETS),
     ]
     return docs.withColumn(out_col, F.array_sort(F.concat(*spans)))
 
@@ -257,7 +256,7 @@ def oracle_sql() -> str:
         f"""SELECT doc_id, kind, ord, start, i, {a.limit} AS most, {a.window} AS w, unnest(string_split(substr(word, i + 1, {a.window}), '')) AS ch,
     {weights(a.window)} AS weight
   FROM (SELECT *, unnest(range(0, length(word) - {a.window} + 1)) AS i FROM matches
-        WHERE kind = {quote(a.name)} AND NOT ({allowed}))"""
+        WHERE kind = {quote(a.name)}{f" AND regexp_matches(word, {quote(a.holds)})" if a.holds else ""} AND NOT ({allowed}))"""
         for a in ALPHABETS
     )
     return f"""

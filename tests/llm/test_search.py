@@ -21,6 +21,8 @@ def _spans(text):
         for m in re.finditer(f"[{a.letters}]+", text):
             if len(m[0]) < a.window or any(re.search(p, m[0]) for p in secrets.ALLOWED):
                 continue
+            if a.name == "entropy_urlsafe" and not set(m[0]) & set("-_"):
+                continue
             spans = []
             for i in range(len(m[0]) - a.window + 1):
                 part = m[0][i : i + a.window]
@@ -46,6 +48,9 @@ def test_secrets_equal_brute_force(spark):
     ]
     texts += ["".join(pick.choice(alphabet + "  ") for _ in range(300)) for _ in range(60)]
     texts += ["".join(pick.choice("0123456789abcdefXYZ ") for _ in range(400)) for _ in range(40)]
+    texts += ["".join(pick.choice("0123456789ABCDEF ") if pick.random() < 0.97 else "_" for _ in range(300)) for _ in range(20)]
+    texts += ["".join(pick.choice(alphabet.replace("+", "_")[10:]) if pick.random() < 0.1 else pick.choice("abcXYZ019-_ghijKLMN") for _ in range(200)) for _ in range(20)]
+    texts += ["test" * 9, "example-" * 8 + "X1", "0123456789abcdef" * 2, "ABCDEF" * 6 + "1", "Sample_" * 5]
     texts += [" ".join("".join(pick.choice("abcdefABCDEF0123456789+/") for _ in range(60)) for _ in range(4)) for _ in range(20)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     for row in secrets.scan(docs).collect():
@@ -154,10 +159,27 @@ def test_decontamination_equals_brute_force(spark):
     docs, items = _fixture()
     left = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     right = spark.createDataFrame(items, "item_id long, text string")
-    for part_bytes in (1 << 20, 300):
-        got = decontam.contaminated(left, right, part_bytes=part_bytes).collect()
+    # One part; several parts on one index; parts whose terms need several indexes.
+    for part_bytes in (1 << 20, 20_000, 300):
+        got = decontam.contaminated(left, right.limit(12) if part_bytes == 300 else right, part_bytes=part_bytes).collect()
+        ours = sorted((r.doc_id, r.n_words, r.n_hit, list(r.item_ids), r.contaminated) for r in got)
+        assert ours == _contaminated(docs, right.limit(12).collect() if part_bytes == 300 else items, 13), part_bytes
+
+
+def test_long_items_are_cut_into_pieces(spark):
+    pick = random.Random(4)
+    long = [f"t{pick.randint(0, 900)}" for _ in range(2000)]
+    items = [("long", " ".join(long)), (None, "alone here"), ("b", "w " * 70)]
+    docs = [(i, " ".join([*(f"u{k}" for k in range(20)), *long[at : at + n]])) for i, (at, n) in enumerate([(0, 13), (95, 40), (1987, 13), (1988, 12)])]
+    docs += [(9, "Alone, here"), (10, "w " * 13), (10, "w " * 13)]
+    left = spark.createDataFrame(docs, "doc_id long, text string")
+    right = spark.createDataFrame(items, "item_id string, text string")
+    pieces = decontam.item_pieces(right, piece=100).collect()
+    assert max(r.n for r in pieces) == 100 and sum(r.n for r in pieces) == 1988 + 1 + 58
+    for part_bytes in (1 << 20, 40_000):
+        got = decontam.contaminated(left, right, part_bytes=part_bytes, piece=100).collect()
         ours = sorted((r.doc_id, r.n_words, r.n_hit, list(r.item_ids), r.contaminated) for r in got)
-        assert ours == _contaminated(docs, items, 13), part_bytes
+        assert ours == _contaminated(docs, [(n or "", t) for n, t in items], 13)
 
 
 def test_decontamination_edges(spark):
@@ -173,7 +195,7 @@ def test_proximity(spark):
     docs = spark.createDataFrame([(1, "red a b c fox"), (2, "fox b red"), (3, "red"), (4, None)], "doc_id long, text string")
     queries = list(zip(["near", "none"], decontam.item_terms(["red fox", "red zebra"])))
     terms = np.unique(np.concatenate([t for _, t in queries]))
-    index = decontam.build_index(docs, terms)
+    index = decontam.build_index(decontam.numbered(docs), terms)
     got = lambda d: sorted(tuple(r) for r in decontam.proximity(index, queries, d).collect())
     assert got(2) == [(2, "near", 1)]
     assert got(4) == [(1, "near", 1), (2, "near", 1)]
