@@ -11,24 +11,28 @@ within a distance.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from flowlens.llm import words as W
-from flowlens.llm.tables import BROADCAST_BYTES, checked_broadcast, documents, settle
+from flowlens.llm.tables import BROADCAST_BYTES, checked_broadcast, documents, release, settle
 
 WORDS = "alnum"
 #: Words of an item window; an item of fewer words is one window.
 WINDOW = 13
+#: Windows of a piece of an item, at most; longer items are cut into several.
+PIECE = 4096
+#: Bytes of text of a segment of the index.
+SEGMENT_BYTES = 2_000_000
 #: A document is contaminated if hit words times this reach its words.
 SHARE = 20
 
 _SEGMENT = T.StructType(
     [
-        T.StructField("segment", T.StringType()),
+        T.StructField("rows", T.ArrayType(T.LongType())),
         T.StructField("doc_ids", T.ArrayType(T.LongType())),
         T.StructField("n_words", T.ArrayType(T.LongType())),
         T.StructField("terms", T.BinaryType()),
@@ -48,8 +52,13 @@ def item_terms(texts: Sequence[str | None]) -> list[np.ndarray]:
     return out
 
 
-def build_index(docs: DataFrame, terms: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Segments of the positional index for the given sorted term hashes.
+def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text and a number of each row, which holds for a table that is read once or settled."""
+    return documents(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+
+
+def build_index(docs: DataFrame, terms: np.ndarray) -> DataFrame:
+    """Segments of the positional index of numbered documents for the given sorted term hashes.
 
     One segment holds the documents of about 2 MB of text. Positions count words within the
     segment; documents are apart by their word counts. Null texts have no words.
@@ -57,10 +66,10 @@ def build_index(docs: DataFrame, terms: np.ndarray, id_col: str = "doc_id", text
     shared = checked_broadcast(docs.sparkSession, terms, terms.nbytes, "the terms")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, made = shared.value, 0
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for first, raw in W.chunks(texts):
+        wanted = shared.value
+        for batch in (piece for whole in batches for piece in W.pieces(whole, 1, SEGMENT_BYTES)):
+            ids, texts, rows = (batch.column(i).to_pylist() for i in range(3))
+            for first, raw in W.chunks(texts, SEGMENT_BYTES):
                 buf, starts, ends, bounds = W.split(raw, WORDS, lower=True)
                 hashed = W.hashes(buf, starts, ends)
                 place = np.searchsorted(wanted, hashed)
@@ -68,11 +77,10 @@ def build_index(docs: DataFrame, terms: np.ndarray, id_col: str = "doc_id", text
                 known = np.flatnonzero(wanted[place] == hashed) if len(wanted) else np.zeros(0, np.int64)
                 order = known[np.argsort(place[known], kind="stable")]
                 found, counts = np.unique(place[known], return_counts=True)
-                made += 1
                 yield pa.RecordBatch.from_pylist(
                     [
                         {
-                            "segment": f"{TaskContext.get().partitionId()}-{made}",
+                            "rows": rows[first : first + len(raw)],
                             "doc_ids": ids[first : first + len(raw)],
                             "n_words": np.diff(bounds).tolist(),
                             "terms": wanted[found].tobytes(),
@@ -83,12 +91,12 @@ def build_index(docs: DataFrame, terms: np.ndarray, id_col: str = "doc_id", text
                     schema=_ARROW,
                 )
 
-    return documents(docs, id_col, text_col).mapInArrow(run, _SEGMENT)
+    return docs.select("doc_id", "text", "row").mapInArrow(run, _SEGMENT)
 
 
 _ARROW = pa.schema(
     [
-        ("segment", pa.string()),
+        ("rows", pa.list_(pa.int64())),
         ("doc_ids", pa.list_(pa.int64())),
         ("n_words", pa.list_(pa.int64())),
         ("terms", pa.binary()),
@@ -98,8 +106,8 @@ _ARROW = pa.schema(
 )
 
 
-def term_counts(index: DataFrame) -> dict[int, int]:
-    """Occurrences of each term over the whole index; bounded by the number of test terms."""
+def term_counts(index: DataFrame, terms: np.ndarray) -> np.ndarray:
+    """Occurrences of each of the sorted terms over the whole index."""
     total = T.StructType([T.StructField("term", T.LongType()), T.StructField("n", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,8 +121,10 @@ def term_counts(index: DataFrame) -> dict[int, int]:
                     names=["term", "n"],
                 )
 
-    rows = index.select("terms", "counts").mapInArrow(run, total).groupBy("term").agg(F.sum("n").alias("n")).collect()
-    return {row["term"]: row["n"] for row in rows}
+    found = index.select("terms", "counts").mapInArrow(run, total).groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(terms), np.int64)
+    out[np.searchsorted(terms, found.column("term").to_numpy().view(np.uint64))] = found.column("n").to_numpy()
+    return out
 
 
 class Segment:
@@ -196,19 +206,22 @@ def windows(items: list[tuple[str, np.ndarray]], width: int) -> tuple[list[str],
     return names, held, np.array(widths, np.int64), np.array(owner, np.int64)
 
 
-def search(index: DataFrame, items: list[tuple[str, np.ndarray]], width: int, counts: dict[int, int]) -> DataFrame:
-    """A row per document: id, words, hit words (within any window found) and the ids of the items."""
+def search(index: DataFrame, items: list[tuple[str, np.ndarray]], width: int, terms: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """A row per document: id, words, hit words (within any window found) and the ids of the items.
+
+    `terms` are those of the index, sorted, and `counts` their occurrences.
+    """
     names, phrases, widths, owner = windows(items, width)
-    frequency = np.array([counts.get(int(t), 0) for t in phrases.view(np.int64).ravel()]).reshape(phrases.shape)
+    place = np.searchsorted(terms, phrases)
+    frequency = np.append(counts, 0)[place]
     frequency[np.arange(width)[None, :] >= widths[:, None]] = np.iinfo(np.int64).max
     order = np.argsort(frequency, axis=1, kind="stable")
     size = phrases.nbytes * 3 + sum(map(len, names))
     shared = checked_broadcast(index.sparkSession, (names, phrases, widths, owner, order), size, "the windows")
-    schema = "segment string, place int, doc_id long, n_words long, n_hit long, item_ids array<string>, spans array<struct<start:long,end:long>>"
+    schema = "row long, doc_id long, n_words long, n_hit long, item_ids array<string>, spans array<struct<start:long,end:long>>"
     arrow = pa.schema(
         [
-            ("segment", pa.string()),
-            ("place", pa.int32()),
+            ("row", pa.int64()),
             ("doc_id", pa.int64()),
             ("n_words", pa.int64()),
             ("n_hit", pa.int64()),
@@ -227,10 +240,9 @@ def search(index: DataFrame, items: list[tuple[str, np.ndarray]], width: int, co
                 doc = np.searchsorted(segment.bounds, place, "right") - 1
                 rows = [
                     {
-                        "segment": stored["segment"], "place": i, "doc_id": d, "n_words": int(n),
-                        "n_hit": 0, "item_ids": [], "spans": [],
+                        "row": i, "doc_id": d, "n_words": int(n), "n_hit": 0, "item_ids": [], "spans": [],
                     }
-                    for i, (d, n) in enumerate(zip(segment.doc_ids, segment.n_words))
+                    for i, d, n in zip(stored["rows"], segment.doc_ids, segment.n_words)
                 ]
                 sort = np.lexsort((place, doc))
                 doc, place, found = doc[sort], place[sort], found[sort]
@@ -273,15 +285,62 @@ def proximity(index: DataFrame, queries: list[tuple[str, np.ndarray]], distance:
     return index.mapInArrow(run, "doc_id long, query string, n long")
 
 
-def item_parts(items: DataFrame, id_col: str, text_col: str, part_bytes: int) -> Iterator[list[tuple[str, np.ndarray]]]:
-    """The test items with their terms, in parts of bounded size."""
-    held = items.select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).cast("string").alias("text"))
-    held = held.where("text IS NOT NULL")
-    size = held.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size // part_bytes))
-    for k in range(parts):
-        rows = held.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()
-        yield list(zip([r["item_id"] for r in rows], item_terms([r["text"] for r in rows])))
+def item_pieces(items: DataFrame, id_col: str = "item_id", text_col: str = "text", width: int = WINDOW, piece: int = PIECE) -> DataFrame:
+    """(item_id, at, n, words): the word hashes of the items, cut so that every window lies in one piece.
+
+    `n` is the number of windows that begin in the piece, `piece` at most. A null id stands as the
+    empty string; null and wordless texts have no pieces.
+    """
+    arrow = pa.schema([("item_id", pa.string()), ("at", pa.int64()), ("n", pa.int64()), ("words", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in W.pieces(whole, 1)):
+            for name, terms in zip(batch.column(0).to_pylist(), item_terms(batch.column(1).to_pylist())):
+                begins = max(1, len(terms) - width + 1) if len(terms) else 0
+                for at in range(0, begins, piece):
+                    n = min(piece, begins - at)
+                    held = [[name], [at], [n], [terms[at : at + n + width - 1].tobytes()]]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(held, arrow)], schema=arrow)
+
+    held = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item_id"), F.col(text_col).cast("string").alias("text"))
+    return held.where("text IS NOT NULL").mapInArrow(run, "item_id string, at long, n long, words binary")
+
+
+def item_parts(pieces: DataFrame, width: int, part_bytes: int) -> Iterator[list[tuple[str, np.ndarray]]]:
+    """The pieces in parts whose windows take about `part_bytes` at most, always in the same order."""
+    size = F.col("n") * _window_bytes(width) + F.octet_length("item_id")
+    total = pieces.agg(F.sum(size)).first()[0] or 0
+    slots = max(1, -(-total // part_bytes))
+    slot = F.pmod(F.xxhash64("item_id", "at"), F.lit(slots))
+    for k in range(slots):
+        held, taken = [], 0
+        # Hashes deal pieces out unevenly, so what is over a part goes to a further one.
+        for row in sorted(pieces.where(slot == k).withColumn("size", size).collect(), key=lambda r: (r["item_id"], r["at"], r["words"])):
+            if held and taken + row["size"] > part_bytes:
+                yield held
+                held, taken = [], 0
+            held.append((row["item_id"], np.frombuffer(row["words"], np.uint64)))
+            taken += row["size"]
+        if held:
+            yield held
+
+
+def _window_bytes(width: int) -> int:
+    """Bytes that a window takes while it is searched: terms, frequencies and order of its words, and two numbers."""
+    return (3 * width + 2) * 8
+
+
+def term_groups(parts: Iterator[list[tuple[str, np.ndarray]]], limit: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(number of parts, their terms) of runs of parts whose terms together take `limit` bytes at most."""
+    n, terms = 0, np.zeros(0, np.uint64)
+    for part in parts:
+        more = np.unique(np.concatenate([t for _, t in part]))
+        both = np.union1d(terms, more)
+        if n and both.nbytes > limit:
+            yield n, terms
+            n, both = 0, more
+        n, terms = n + 1, both
+    yield n, terms
 
 
 def contaminated(
@@ -292,32 +351,41 @@ def contaminated(
     item_col: str = "item_id",
     item_text_col: str = "text",
     width: int = WINDOW,
-    part_bytes: int = BROADCAST_BYTES // 400,
+    part_bytes: int = BROADCAST_BYTES // 2,
+    piece: int = PIECE,
 ) -> DataFrame:
     """A row per document row: doc_id, n_words, n_hit, item_ids (sorted), contaminated.
 
-    Items of any number are searched, in parts whose windows fit the broadcast bound; parts merge
-    by document row. Null and empty texts have no words, no hits and are never contaminated; null,
-    empty and wordless items match nothing; items with equal ids count once; repeated document
-    rows each get a row; empty tables give no rows or no hits. Other columns are not read.
+    Items of any number and length are searched: long ones are cut into pieces of windows, pieces are
+    dealt out to parts that fit the broadcast bound, and as many parts share an index as their terms
+    fit it. Null and empty texts have no words, no hits and are never contaminated; null, empty and
+    wordless items match nothing; a null item id stands as the empty string; items with equal ids
+    count once; repeated document rows each get a row; empty tables give no rows or no hits. Other
+    columns are not read.
     """
-    terms = np.zeros(0, np.uint64)
-    parts = 0
-    for part in item_parts(items, item_col, item_text_col, part_bytes):
-        terms = np.unique(np.concatenate([terms, *[t for _, t in part]]))
-        parts += 1
-    index = settle(build_index(docs, terms, id_col, text_col), "postings")
-    counts = term_counts(index)
+    pieces = settle(item_pieces(items, item_col, item_text_col, width, piece), "pieces")
+    groups = list(term_groups(item_parts(pieces, width, part_bytes), part_bytes))
+    held = numbered(docs, id_col, text_col)
+    if len(groups) > 1:
+        held = settle(held, "numbered")
+    parts = item_parts(pieces, width, part_bytes)
+    if sum(n for n, _ in groups) <= 1:
+        index = settle(build_index(held, groups[0][1]), "postings")
+        return verdicts(search(index, next(parts, []), width, groups[0][1], term_counts(index, groups[0][1])))
     found = None
-    for part in item_parts(items, item_col, item_text_col, part_bytes):
-        rows = search(index, part, width, counts)
-        found = rows if found is None else found.unionByName(rows)
-    return verdicts(found if parts == 1 else merged(found))
+    for n, terms in groups:
+        index = settle(build_index(held, terms), "postings")
+        counts = term_counts(index, terms)
+        for part in islice(parts, n):
+            rows = settle(search(index, part, width, terms, counts), "found")
+            found = rows if found is None else found.unionByName(rows)
+        release(index)
+    return verdicts(merged(found))
 
 
 def merged(found: DataFrame) -> DataFrame:
     """One row per document row from the rows of several parts of the items."""
-    together = found.groupBy("segment", "place").agg(
+    together = found.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"),
         F.first("n_words").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),

@@ -9,16 +9,16 @@ proportion.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowlens.llm import words as W
-from flowlens.llm.tables import checked_broadcast
+from flowlens.llm.tables import checked_broadcast, unused
 
 #: Trigram cells of a language.
 CELLS = 1 << 15
@@ -28,7 +28,7 @@ TRAIN_ROWS = 20_000
 SETTLED = 1e-4
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass
@@ -71,7 +71,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in W.pieces(whole)):
             langs = batch.column(1).to_pylist()
             for first, buf, starts, ends, bounds in _word_runs(batch.column(0).to_pylist()):
                 cells, total = _trigrams(buf, starts, ends)
@@ -164,7 +164,7 @@ def identify(
 ) -> DataFrame:
     """Add the predicted language, its proportion (0 to 1) and the proportions of the language set.
 
-    A null text, or one without any letter, is `und` with score 0 and no proportions; so is every
+    A null text, or one without any letter (a character of the category L), is `und` with score 0 and no proportions; so is every
     text if no language was learned. Ties go to the language first in the alphabet. All rows and
     columns stay in place, columns with the new names are replaced, an empty table stays empty.
     """
@@ -176,20 +176,22 @@ def identify(
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         languages = shared.value
         for batch in batches:
-            texts = batch.to_pylist()
             rows = []
-            for text, share in zip(texts, proportions(languages, texts)):
-                if text is None or not share.any() or not _LETTER.search(text):
-                    rows.append({pred_col: UNKNOWN, score_col: 0.0, shares_col: []})
-                    continue
-                top = int(share.argmax())
-                held = [(languages.names[i], float(share[i])) for i in np.flatnonzero(share)]
-                rows.append(
-                    {pred_col: languages.names[top], score_col: min(1.0, float(share[top])), shares_col: held}
-                )
+            for piece in W.pieces(batch):
+                texts = piece.to_pylist()
+                for text, share in zip(texts, proportions(languages, texts)):
+                    if text is None or not share.any() or not _LETTER.search(text):
+                        rows.append({pred_col: UNKNOWN, score_col: 0.0, shares_col: []})
+                        continue
+                    top = int(share.argmax())
+                    held = [(languages.names[i], float(share[i])) for i in np.flatnonzero(share)]
+                    rows.append(
+                        {pred_col: languages.names[top], score_col: min(1.0, float(share[top])), shares_col: held}
+                    )
             yield pa.array(rows, arrow)
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     found = F.arrow_udf(run, schema)(text)
     kept = docs.drop(pred_col, score_col, shares_col)
-    return kept.withColumn("__language", found).select(*kept.columns, "__language.*")
+    (held,) = unused(kept, "__language")
+    return kept.withColumn(held, found).select(*kept.columns, f"{held}.*")

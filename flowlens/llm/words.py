@@ -11,9 +11,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text handled at once; bounds the memory of a task whatever the batch size.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
@@ -64,6 +66,20 @@ def chunks(texts: list[str | None], limit: int = CHUNK_BYTES) -> Iterator[tuple[
         yield first, held
 
 
+def pieces(rows: pa.RecordBatch | pa.Array, column: int = 0, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch | pa.Array]:
+    """Consecutive slices of a batch with about `limit` bytes of text, one row at least.
+
+    Only a slice at a time becomes Python objects, so a worker holds little besides the batch itself.
+    """
+    texts = rows if isinstance(rows, pa.Array) else rows.column(column)
+    reach = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first, before = 0, 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(reach, before + limit, "right")))
+        yield rows.slice(first, last - first)
+        first, before = last, int(reach[last - 1])
+
+
 def split(docs: list[bytes], spec: str, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of some documents: (buffer, starts, ends, first word of each document and the total).
 

@@ -1,10 +1,13 @@
 """Language identification and toxicity: held-out accuracy, mixtures and edge cases."""
 
+import math
+import re
+
 import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
 
-from flowlens.llm import langid, queries, toxicity
+from flowlens.llm import langid, queries, toxicity, words as W
 
 DATA = "/root/testdata/sf0.01"
 
@@ -45,6 +48,55 @@ def test_text_of_five_languages(spark):
     assert (share[1] > 0).sum() == 1
 
 
+def _slow_mixture(model, text):
+    """Proportions of a text word by word: the best nested set by penalised likelihood, estimated in plain loops."""
+    runs = re.findall(r"[^\x00-\x40\x5b-\x60\x7b-\x7f]+", text.lower())
+    like = []
+    for word in runs:
+        buf, starts, ends, _ = W.split([word.encode()], "letters", lower=True)
+        cells, _ = langid._trigrams(buf, starts, ends)
+        logs = model.cells[cells].sum(axis=0)
+        like.append([math.exp(max(x - max(logs), -60.0)) for x in logs])
+
+    def settle(allowed):
+        share = [a / sum(allowed) for a in allowed]
+        while True:
+            sums = [0.0] * len(share)
+            for p in like:
+                total = sum(a * b for a, b in zip(p, share))
+                sums = [s + a * b / total for s, a, b in zip(sums, p, share)]
+            new = [s / len(like) for s in sums]
+            moved, share = max(abs(a - b) for a, b in zip(new, share)), new
+            if moved <= langid.SETTLED:
+                return share, sum(math.log(sum(a * b for a, b in zip(p, share))) for p in like)
+
+    n = len(model.names)
+    full, _ = settle([1] * n)
+    order = sorted(range(n), key=lambda i: -full[i])
+    tried = []
+    for size in range(1, n + 1):
+        share, fit = settle([int(i in order[:size]) for i in range(n)])
+        tried.append((fit - (size - 1) * (0.5 * math.log(len(like)) + math.log(n)), -size, share))
+    return max(tried)[2]
+
+
+def test_mixture_equals_slow_reference(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = langid.train(docs)
+    texts = [r.text for r in docs.where("length(text) BETWEEN 20 AND 3000").orderBy("doc_id").limit(40).collect()]
+    texts += [f"{a[:400]} {b[:250]} {c[:150]}" for a, b, c in zip(texts, texts[7:], texts[19:])][:25]
+    for text, share in zip(texts, langid.proportions(model, texts)):
+        assert np.allclose(share, _slow_mixture(model, text), atol=1e-6), text[:80]
+
+
+def test_letters_are_a_category(spark):
+    """Signs that Python counts as word characters, but that are no letters, make no language."""
+    model = langid.train(spark.createDataFrame([("kato mika", "aa"), ("wersh blint", "bb")], "text string, lang string"))
+    docs = spark.createDataFrame([("² ½ ①",), ("ª kato",), ("٣٤",)], "text string")
+    got = {r.text: r.lang_pred for r in langid.identify(docs, model).collect()}
+    assert got["² ½ ①"] == got["٣٤"] == "und" and got["ª kato"] != "und"
+
+
 def test_language_stage_without_labels(spark, tmp_path):
     docs = spark.createDataFrame([(1, "Ein Text", None), (2, None, None), (3, "12 !", None), (4, "слово", None)], "doc_id long, text string, lang string")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
