@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowlens.llm import decontam, langid, lines, minhash, sentencepieces
-from flowlens.llm.tables import settle, table
+from flowlens.llm.tables import settle, table, unused
 
 #: Words of a shingle and hundredths of similarity of near duplicates.
 SHINGLE, PERCENT = 5, 80
@@ -32,9 +32,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = langid.train(table(spark, sf_dir, "documents"), key=F.xxhash64("doc_id"))
     if not model.names:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    return langid.identify(docs, model, pred_col="__lang", score_col="__score", shares_col="__shares").where(
-        F.col("__lang") != langid.UNKNOWN
-    ).select(*docs.columns)
+    lang, score, shares = unused(docs, "found_lang", "found_score", "found_shares")
+    found = langid.identify(docs, model, pred_col=lang, score_col=score, shares_col=shares)
+    return found.where(F.col(lang) != langid.UNKNOWN).select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
