@@ -133,6 +133,12 @@ class PieceCodec:
         out.reverse()
         return array("i", out)
 
+    def forget(self) -> None:
+        """Empty the tables of words and pairs seen; idle workers keep only the model."""
+        self._done.clear()
+        self._apart.clear()
+        self._pairs = 0
+
     def encode(self, text: str) -> array:
         """Ids of a whole text."""
         ids = array("i")
@@ -217,18 +223,21 @@ def encode_decode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece_codec = codec(shared.value)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                flat, ends, texts = array("i"), array("i", [0]), []
-                for text in part.column(at).to_pylist():
-                    ids = piece_codec.encode(text or "")
-                    texts.append(piece_codec.decode(ids))
-                    flat += ids
-                    ends.append(len(flat))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-                names = [*part.schema.names, ids_col, decoded_col]
-                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(texts, pa.string())], names=names)
+        try:
+            for batch in batches:
+                for start in range(0, batch.num_rows, 256):
+                    part = batch.slice(start, 256)
+                    flat, ends, texts = array("i"), array("i", [0]), []
+                    for text in part.column(at).to_pylist():
+                        ids = piece_codec.encode(text or "")
+                        texts.append(piece_codec.decode(ids))
+                        flat += ids
+                        ends.append(len(flat))
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+                    names = [*part.schema.names, ids_col, decoded_col]
+                    yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(texts, pa.string())], names=names)
+        finally:
+            piece_codec.forget()
 
     return kept.mapInArrow(run, schema)
 
