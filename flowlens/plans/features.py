@@ -193,14 +193,12 @@ _VERSION_CODE = """
     """,
 )
 def version_code(spark, sf):
-    flows = v.flows(spark, sf).select("ID", "QUIC_VERSION")
-    return _versions(spark, sf).encode(flows, "QUIC_VERSION", "QUIC_VERSION_CODE", missing=0)
+    flows = v.flows(spark, sf, stored=True).select("ID", "QUIC_VERSION")
+    return _versions(flows).encode(flows, "QUIC_VERSION", "QUIC_VERSION_CODE", missing=0)
 
 
-def _versions(spark, sf) -> Dictionary:
-    """Version dictionary of the flows: versions of flow-opening packets."""
-    opening = v.labelled(spark, sf).filter("position = 0")
-    return Dictionary.fit(opening.select(F.col("version").alias("QUIC_VERSION")), "QUIC_VERSION", first=1)
+def _versions(flows) -> Dictionary:
+    return Dictionary.fit(flows, "QUIC_VERSION", first=1)
 
 
 _PLAIN = [c for c in FEATURE_COLUMNS if c not in _FEATURE_SQL and c != "QUIC_VERSION_CODE"]
@@ -215,8 +213,8 @@ _PLAIN = [c for c in FEATURE_COLUMNS if c not in _FEATURE_SQL and c != "QUIC_VER
     """,
 )
 def features_tabular(spark, sf):
-    flows = v.flows(spark, sf).filter(F.col("APP").isNotNull())
-    table = tabular.feature_table(flows, _versions(spark, sf), keep=["ID", "APP"])
+    flows = v.flows(spark, sf, stored=True)
+    table = tabular.feature_table(flows.filter(F.col("APP").isNotNull()), _versions(flows), keep=["ID", "APP"])
     return rounded(table, *[c for c in FEATURE_COLUMNS if c not in HISTOGRAM_FEATURES])
 
 
@@ -596,9 +594,9 @@ def vec_conform(spark, sf):
 
 
 def _samples(spark, sf, keep=("ID",)):
-    flows = v.flows(spark, sf)
+    flows = v.flows(spark, sf, stored=True)
     labels = Dictionary.fit(flows, "APP")
-    return sequences.samples(flows, labels, _versions(spark, sf), keep=keep)
+    return sequences.samples(flows, labels, _versions(flows), keep=keep)
 
 
 @query(
@@ -744,7 +742,7 @@ def path_to_day(spark, sf):
     """,
 )
 def per_class_topn(spark, sf):
-    flows = v.flows(spark, sf).select("APP", "ID", "first_us", "head_id")
+    flows = v.flows(spark, sf, text=False, stored=True).select("APP", "ID", "first_us", "head_id")
     picked = sampling.pick_traces(flows, "APP", ["view", "click", "error"], 10, ["first_us", "head_id"])
     return picked.select("APP", "ID", "rank")
 

@@ -91,7 +91,7 @@ def etl_rowcounts(spark, sf):
 
 
 def _manifest(spark, sf):
-    flows = v.flows(spark, sf)
+    flows = v.flows(spark, sf, stored=True)
     labels = Dictionary.fit(flows, "APP")
     versions = Dictionary.fit(flows, "QUIC_VERSION", first=1)
     samples = writers.write_table(
@@ -152,7 +152,7 @@ def src_manifest(spark, sf):
     """,
 )
 def src_traces(spark, sf):
-    flows = v.flows(spark, sf)
+    flows = v.flows(spark, sf, stored=True)
     picked = sampling.pick_traces(flows, "APP", ["view", "click", "error"], 12, ["first_us", "head_id"])
     versions = Dictionary.fit(flows, "QUIC_VERSION", first=1)
     samples = sequences.samples(picked, None, versions, keep=["APP"])

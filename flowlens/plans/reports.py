@@ -19,7 +19,11 @@ _SCORE = f"(head_id % {v.SCORE_RANGE}) * {v.SCORE_FACTOR} % {v.SCORE_RANGE}"
 
 
 def _split(spark, sf):
-    return sampling.time_split(v.services(spark, sf), "day", TRAIN_DAYS_HELD)
+    return _split_of(v.services(spark, sf, stored=True))
+
+
+def _split_of(services):
+    return sampling.time_split(services, "day", TRAIN_DAYS_HELD)
 
 
 # Dictionaries ----------------------------------------------------------------------
@@ -76,8 +80,9 @@ def label_encode(spark, sf):
     """,
 )
 def label_decode(spark, sf):
-    labels = Dictionary.fit(_split(spark, sf)[0], "SERVICE")
-    guesses = v.flows(spark, sf, text=False).select("ID", (F.col("flow_key") % 90).cast("int").alias("label_id"))
+    flows = v.flows(spark, sf, text=False, stored=True)
+    labels = Dictionary.fit(_split_of(v.services_of(flows))[0], "SERVICE")
+    guesses = flows.select("ID", (F.col("flow_key") % 90).cast("int").alias("label_id"))
     return labels.decode(guesses, "label_id", "label")
 
 
@@ -163,8 +168,9 @@ def partition_profile(spark, sf):
     """,
 )
 def class_weights(spark, sf):
-    labels = Dictionary.fit(v.services(spark, sf), "SERVICE")
-    return rounded(stats.class_weights(_split(spark, sf)[0], "SERVICE", labels), "weight")
+    services = v.services(spark, sf, stored=True)
+    labels = Dictionary.fit(services, "SERVICE")
+    return rounded(stats.class_weights(_split_of(services)[0], "SERVICE", labels), "weight")
 
 
 @query(
@@ -220,7 +226,7 @@ def sampling_ratio(spark, sf):
     """,
 )
 def restored_counts(spark, sf):
-    flows = v.flows(spark, sf, text=False).select("APP")
+    flows = v.flows(spark, sf, text=False, stored=True).select("APP")
     seen = v.packets(spark, sf).groupBy(F.col("event_type").alias("APP")).agg(F.count(F.lit(1)).alias("seen"))
     weighted = census.with_service_weight(flows, census.sampling_ratio(flows, seen, "APP"), "APP")
     return weighted.groupBy("APP").agg(
@@ -246,7 +252,7 @@ _TYPES = ["click", "error", "purchase", "signup", "view"]
     + " FROM predictions GROUP BY y_true",
 )
 def confusion_matrix(spark, sf):
-    predictions = v.predictions(spark, sf)
+    predictions = v.predictions(spark, sf, stored=True)
     guessed = Dictionary.fit(predictions.select("y_pred"), "y_pred").values()
     return metrics.confusion_matrix(predictions, guessed)
 
@@ -275,7 +281,7 @@ def macro_f1(spark, sf):
     """,
 )
 def macro_f1_allclass(spark, sf):
-    predictions = v.predictions(spark, sf)
+    predictions = v.predictions(spark, sf, stored=True)
     names = Dictionary.fit(predictions, "y_true").values()
     labels = Dictionary.of_values(spark, sorted([*names, "absent"]))
     return rounded(metrics.macro_f1_all(predictions, labels), "macro_f1")
@@ -399,13 +405,13 @@ def argmax_conf(spark, sf):
 # Samples and splits ----------------------------------------------------------------
 
 
-def _scored(spark, sf):
-    return v.flows(spark, sf, text=False), v.score_of("head_id")
+def _scored(spark, sf, stored=False):
+    return v.flows(spark, sf, text=False, stored=stored), v.score_of("head_id")
 
 
 @query("sample_exact", f"SELECT ID, head_id FROM flows ORDER BY {_SCORE}, head_id LIMIT 300")
 def sample_exact(spark, sf):
-    flows, score = _scored(spark, sf)
+    flows, score = _scored(spark, sf, stored=True)
     return sampling.sample_rows(flows, 300, "head_id", score=score).select("ID", "head_id")
 
 
@@ -424,7 +430,7 @@ def sample_fraction(spark, sf):
     """,
 )
 def stratified_split(spark, sf):
-    flows, score = _scored(spark, sf)
+    flows, score = _scored(spark, sf, stored=True)
     known = flows.filter(F.col("APP").isNotNull())
     return sampling.stratified_split(known, "APP", "head_id", 0.2, score=score).select("ID", "APP", "is_validation")
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from flowlens.operators import packets as pk
 from flowlens.schema import HISTOGRAM_NAMES
+from flowlens.session import scratch_path
+from flowlens.sources.writers import write_table
 
 HOUR_US = 3_600_000_000
 IDLE_US = 24 * HOUR_US
@@ -83,8 +85,12 @@ def _label(rows: DataFrame) -> DataFrame:
     return pk.label_flows(rows, ["flow_key"], IDLE_US, ACTIVE_US, UNIT_US)
 
 
-def flows(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:
-    """Flow table; with `text` sequences, histograms and times are in their stored text form."""
+def flows(spark: SparkSession, sf_dir: str, text: bool = True, stored: bool = False) -> DataFrame:
+    """Flow table; with `text` sequences, histograms and times are in their stored text form.
+
+    Queries that use the flows more than once ask for them `stored`: assembled and written once, so
+    dictionaries, splits and statistics scan the narrow table by column.
+    """
     source = packets(spark, sf_dir)
     rows = _label(source)
     user = F.col("flow_key")
@@ -116,6 +122,8 @@ def flows(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:
             "day": F.to_date("TIME_FIRST"),
         }
     )
+    if stored:
+        result = write_table(result, scratch_path(spark, "flows"))
     if not text:
         return result
     stored = "yyyy-MM-dd'T'HH-mm-ss.SSSSSS"
@@ -129,9 +137,9 @@ def flows(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:
     )
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def predictions(spark: SparkSession, sf_dir: str, stored: bool = False) -> DataFrame:
     """True label: first event type of a flow; predicted label: its last event type."""
-    return flows(spark, sf_dir, text=False).filter(F.col("APP").isNotNull()).select(
+    return flows(spark, sf_dir, text=False, stored=stored).filter(F.col("APP").isNotNull()).select(
         "flow_key", "flow_no", "head_id", "first_us", "day", F.col("APP").alias("y_true"), "y_pred", "p_true"
     )
 
@@ -140,11 +148,14 @@ def service_map(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PROVIDERS, T.StructType.fromDDL("APP string, provider string"))
 
 
-def services(spark: SparkSession, sf_dir: str) -> DataFrame:
+def services(spark: SparkSession, sf_dir: str, stored: bool = False) -> DataFrame:
+    return services_of(flows(spark, sf_dir, text=False, stored=stored))
+
+
+def services_of(table: DataFrame) -> DataFrame:
     """Labelled flows with a finer label, so that days differ in the labels they hold."""
     return (
-        flows(spark, sf_dir, text=False)
-        .filter(F.col("APP").isNotNull())
+        table.filter(F.col("APP").isNotNull())
         .withColumns(
             {
                 "SERVICE": F.concat_ws("-", "APP", "DST_ASN"),

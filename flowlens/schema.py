@@ -10,18 +10,45 @@ HISTOGRAM_SIZE = 8
 HISTOGRAM_NAMES = ["PHIST_SRC_SIZES", "PHIST_DST_SIZES", "PHIST_SRC_IPT", "PHIST_DST_IPT"]
 # Largest value of bins 0 to 6; everything above falls into bin 7.
 HISTOGRAM_UPPER_EDGES = [15, 31, 63, 127, 255, 511, 1024]
-BASE_FEATURES = (
-    "DURATION BYTES BYTES_REV PACKETS PACKETS_REV PPI_LEN PPI_DURATION PPI_ROUNDTRIPS "
-    "FLOW_ENDREASON_IDLE FLOW_ENDREASON_ACTIVE FLOW_ENDREASON_OTHER "
-    "DST_ASN SRC_PORT DST_PORT PROTOCOL"
-).split()
-DERIVED_FEATURES = (
-    "TOTAL_BYTES TOTAL_PACKETS BYTES_RATIO PACKETS_RATIO BYTES_BALANCE PACKETS_BALANCE "
-    "MEAN_PACKET_SIZE_FWD MEAN_PACKET_SIZE_REV BYTES_PER_SECOND PACKETS_PER_SECOND "
-    "PPI_DENSITY PPI_ROUNDTRIP_RATIO LOG_TOTAL_BYTES LOG_TOTAL_PACKETS "
-    "START_HOUR START_MINUTE_OF_DAY START_DAY_OF_WEEK IS_WEEKEND "
-    "DURATION_FROM_TIMESTAMPS QUIC_VERSION_CODE"
-).split()
+BASE_FEATURES = [
+    "DURATION",
+    "BYTES",
+    "BYTES_REV",
+    "PACKETS",
+    "PACKETS_REV",
+    "PPI_LEN",
+    "PPI_DURATION",
+    "PPI_ROUNDTRIPS",
+    "FLOW_ENDREASON_IDLE",
+    "FLOW_ENDREASON_ACTIVE",
+    "FLOW_ENDREASON_OTHER",
+    "DST_ASN",
+    "SRC_PORT",
+    "DST_PORT",
+    "PROTOCOL",
+]
+DERIVED_FEATURES = [
+    "TOTAL_BYTES",
+    "TOTAL_PACKETS",
+    "BYTES_RATIO",
+    "PACKETS_RATIO",
+    "BYTES_BALANCE",
+    "PACKETS_BALANCE",
+    "MEAN_PACKET_SIZE_FWD",
+    "MEAN_PACKET_SIZE_REV",
+    "BYTES_PER_SECOND",
+    "PACKETS_PER_SECOND",
+    "PPI_DENSITY",
+    "PPI_ROUNDTRIP_RATIO",
+    "LOG_TOTAL_BYTES",
+    "LOG_TOTAL_PACKETS",
+    "START_HOUR",
+    "START_MINUTE_OF_DAY",
+    "START_DAY_OF_WEEK",
+    "IS_WEEKEND",
+    "DURATION_FROM_TIMESTAMPS",
+    "QUIC_VERSION_CODE",
+]
 HISTOGRAM_FEATURES = [f"{h}_BIN_{i}" for h in HISTOGRAM_NAMES for i in range(HISTOGRAM_SIZE)]
 FEATURE_COLUMNS = BASE_FEATURES + DERIVED_FEATURES + HISTOGRAM_FEATURES
 

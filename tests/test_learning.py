@@ -30,7 +30,6 @@ def _values(classifier):
     [
         (learning.model_rf, lambda: models.random_forest()),
         (learning.model_rf_hist, lambda: models.histogram_forest()),
-        (learning.model_gbt_ovr, lambda: models.boosting()),
     ],
 )
 def test_tree_queries_fit_the_defaults(query, expected, monkeypatch, spark, sf):
