@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowlens.operators import models, packets as pk
+from flowlens.operators.scoring import score
 from flowlens.plans import learning, views as v
 from flowlens.plans.registry import query
 from flowlens.schema import SEQUENCE_LENGTH
 from flowlens.session import scratch_path
-from flowlens.streaming import packets as st
+from flowlens.sources.writers import write_table
+from flowlens.streaming import batches, packets as st
 
 DELAY = "1 hour"
 DELAY_US = v.HOUR_US
 SPLIT = "2024-01-16"
+# Packets of a micro-batch, about.
+FILE_ROWS = 2_000_000
 
 
 def _packets(spark, sf):
@@ -30,18 +34,22 @@ def st_packets(spark, sf):
     return st.run_once(stream)
 
 
-def _windows_sql(source: str, idle_us: int | None = None) -> str:
-    """Full windows of a packet table; a silence longer than `idle_us` starts over."""
-    restart = f"before_us IS NULL OR ts_us - before_us > {idle_us}" if idle_us else "before_us IS NULL"
-    return f"""
-    , held AS (SELECT *, lag(ts_us) OVER (PARTITION BY flow_key ORDER BY ts_us, packet_id) AS before_us FROM {source}),
-    spells AS (SELECT *, sum(CASE WHEN {restart} THEN 1 ELSE 0 END)
+_WINDOWS = f"""
+    , held AS (SELECT *, lag(ts_us) OVER (PARTITION BY flow_key ORDER BY ts_us, packet_id) AS before_us FROM {{source}}),
+    spells AS (SELECT *, sum(CASE WHEN {{restart}} THEN 1 ELSE 0 END)
                          OVER (PARTITION BY flow_key ORDER BY ts_us, packet_id) AS spell FROM held),
     runs AS (SELECT *, row_number() OVER (PARTITION BY flow_key, spell ORDER BY ts_us, packet_id) - 1 AS nth FROM spells),
     windows AS (
       SELECT flow_key, count(*) AS n, min(ts_us) AS first_us, max(ts_us) AS last_us, CAST(sum(size) AS DOUBLE) AS bytes,
              CAST(sum(CASE WHEN nth % {SEQUENCE_LENGTH} = 0 THEN 0 ELSE (ts_us - before_us) // {v.UNIT_US} END) AS DOUBLE) AS pause
       FROM runs GROUP BY flow_key, spell, nth // {SEQUENCE_LENGTH})
+"""
+
+
+def _windows_sql(source: str, idle_us: int | None = None) -> str:
+    """Full windows of a packet table; a silence longer than `idle_us` starts over."""
+    restart = f"before_us IS NULL OR ts_us - before_us > {idle_us}" if idle_us else "before_us IS NULL"
+    return _WINDOWS.format(source=source, restart=restart) + f"""
     SELECT flow_key, row_number() OVER (PARTITION BY flow_key ORDER BY first_us) - 1 AS window_no,
            first_us, last_us, bytes, pause
     FROM windows WHERE n = {SEQUENCE_LENGTH}
@@ -57,9 +65,97 @@ def _summarized(windows):
     )
 
 
+def _arrivals(spark, sf):
+    """The packets as a stream of files in the order of time, one file a micro-batch.
+
+    Files hold about FILE_ROWS packets, at least five files are made.
+    """
+    events = v.table(spark, sf, "events")
+    files = max(5, -(-events.count() // FILE_ROWS))
+    folder = scratch_path(spark, "arrivals")
+    ranked = events.repartitionByRange(files, "ts").withColumn("part", F.spark_partition_id())
+    stored = write_table(ranked, scratch_path(spark, "ranked"), ["part"])
+    # Files are taken in the order they were written in; parts of one job may get any order.
+    for part in range(files):
+        stored.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(folder)
+    return v.events_to_packets(st.read_stream(spark, folder, v.LAYOUTS["events"], files_per_trigger=1))
+
+
 @query("st_count_window", _windows_sql("packets"))
 def st_count_window(spark, sf):
-    return _summarized(st.run_once(st.count_windows(_packets(spark, sf), ["flow_key"], unit_us=v.UNIT_US)))
+    """Count windows over several micro-batches; what a batch leaves is kept as a table."""
+    windows = batches.CountWindows(spark, scratch_path(spark, "windows"), ["flow_key"], unit_us=v.UNIT_US)
+    st.run_batches(_arrivals(spark, sf), windows.handle)
+    return _summarized(windows.windows())
+
+
+_EXPORT_SQL = """
+    SELECT flow_key, first_us, last_us, PACKETS, PACKETS_REV, BYTES, BYTES_REV,
+           CASE WHEN FLOW_ENDREASON_IDLE = 1 THEN 'idle' WHEN FLOW_ENDREASON_ACTIVE = 1 THEN 'active' ELSE 'other' END AS end_reason
+    FROM flows
+"""
+
+
+@query("st_flows", _EXPORT_SQL)
+def st_flows(spark, sf):
+    """Flows of a stream with idle and active timeouts and the reason of their end."""
+    export = batches.FlowExport(spark, scratch_path(spark, "export"), ["flow_key"], v.IDLE_US, v.ACTIVE_US, DELAY_US)
+    st.run_batches(_arrivals(spark, sf), export.handle)
+    return export.close()
+
+
+DAMAGED = 11
+
+
+@query(
+    "st_window_score",
+    _WINDOWS.format(source="packets", restart="before_us IS NULL")
+    + f"""
+    SELECT flow_key, window_no, CASE WHEN flow_key % {DAMAGED} = 0 THEN 'API_ERROR' ELSE 'scored' END AS outcome,
+           CASE WHEN flow_key % {DAMAGED} = 0 THEN 0 ELSE bytes END AS bytes
+    FROM (SELECT flow_key, row_number() OVER (PARTITION BY flow_key ORDER BY first_us) - 1 AS window_no, bytes
+          FROM windows WHERE n = {SEQUENCE_LENGTH})
+    """,
+)
+def st_window_score(spark, sf):
+    """Windows of a stream scored by a tree; requests that lost a channel become error rows.
+
+    The tree learns from the flows' sequences whether most bytes go up.
+    """
+    model = _sequence_model(spark, sf)
+
+    def request(windows):
+        whole = F.col("sequence")
+        return windows.select(
+            "flow_key", "window_no", F.when(F.col("flow_key") % DAMAGED == 0, F.slice(whole, 1, 2)).otherwise(whole).alias("sequences")
+        )
+
+    def answer(requests):
+        scored = score(model, _window_features(requests, "sequences"), keep=["flow_key", "window_no", "bytes"])
+        fine = F.col("y_pred").isin("up", "down") & F.col("confidence").between(0, 1)
+        return scored.select("flow_key", "window_no", F.when(fine, "scored").otherwise("odd").alias("outcome"), "bytes")
+
+    windows = batches.CountWindows(spark, scratch_path(spark, "windows"), ["flow_key"], unit_us=v.UNIT_US)
+    scores = batches.WindowScores(windows, request, answer)
+    st.run_batches(_arrivals(spark, sf), scores.handle)
+    rejected = scores.table("errors").select("flow_key", "window_no", F.col("label").alias("outcome"), F.lit(0.0).alias("bytes"))
+    return scores.table("scores").unionByName(rejected)
+
+
+_WINDOW_FEATURES = ["bytes", "pause", "forward"]
+
+
+def _window_features(rows, sequence):
+    total = lambda i: F.aggregate(F.get(sequence, F.lit(i)), F.lit(0.0), lambda s, x: s + x)
+    forward = F.size(F.filter(F.get(sequence, F.lit(1)), lambda d: d > 0)).cast("double")
+    return rows.withColumns({"bytes": total(2), "pause": total(0), "forward": forward})
+
+
+def _sequence_model(spark, sf):
+    flows = v.flows(spark, sf, text=False, stored=True)
+    up = F.when(F.col("BYTES") >= F.col("BYTES_REV"), "up").otherwise("down")
+    rows = _window_features(flows.withColumn("APP", up), "PPI")
+    return models.train(rows, models.decision_tree(min_rows=5, depth=4), features=_WINDOW_FEATURES)
 
 
 @query("st_late", _windows_sql(f"packets WHERE ts >= TIMESTAMP '{SPLIT}'", v.IDLE_US))
