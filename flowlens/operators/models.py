@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowlens.operators import metrics
 from flowlens.operators.encode import Dictionary
-from flowlens.operators.stats import class_weights, with_class_weight
+from flowlens.operators.stats import Normalization, class_weights, with_class_weight
 from flowlens.schema import FEATURE_COLUMNS, LABEL
 
 # Fixed value: the deepest tree Spark ML allows, for trees without a depth limit.
@@ -154,6 +155,53 @@ def feature_importance(model: PipelineModel, features: Sequence[str] = FEATURE_C
     return table.orderBy(F.col("importance").desc(), "feature")
 
 
+BUNDLE_VERSION = 1
+
+
+@dataclass
+class Bundle:
+    """A model with all that scoring needs, stored and loaded as one unit."""
+
+    model: PipelineModel
+    features: list[str]
+    labels: list[str]
+    versions: list[int]
+    normalization: Normalization | None = None
+    parameters: dict[str, str] = field(default_factory=dict)
+
+    def save(self, path: str) -> None:
+        """The model, and a description that names its parts; the description is written last."""
+        spark = SparkSession.active()
+        save(self.model, f"{path}/model")
+        held = self.normalization
+        moments = None if held is None else [held.seq_mean, held.seq_std, held.tab_mean, held.tab_std]
+        row = (BUNDLE_VERSION, self.features, self.labels, self.versions, moments, {k: str(x) for k, x in self.parameters.items()})
+        spark.createDataFrame([row], _BUNDLE).coalesce(1).write.mode("overwrite").json(f"{path}/description")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "Bundle":
+        """The bundle; a missing or unfit description is an error, as is a model of other labels."""
+        row = spark.read.schema(_BUNDLE).json(f"{path}/description").first()
+        missing = ["description"] if row is None else [f for f in ("version", "features", "labels", "versions", "parameters") if row[f] is None]
+        if missing:
+            raise ValueError(f"the bundle at {path} lacks {', '.join(missing)}")
+        if row["version"] != BUNDLE_VERSION:
+            raise ValueError(f"bundle version {row['version']}, expected {BUNDLE_VERSION}")
+        model = load(f"{path}/model")
+        known = next((s.getLabels() for s in model.stages if isinstance(s, IndexToString)), None)
+        if known != list(row["labels"]):
+            raise ValueError("the description names other labels than the model")
+        moments = row["moments"]
+        normalization = None if moments is None else Normalization(*map(list, moments))
+        return cls(model, list(row["features"]), list(row["labels"]), list(row["versions"]), normalization, dict(row["parameters"]))
+
+
+_BUNDLE = (
+    "version int, features array<string>, labels array<string>, versions array<long>, "
+    "moments array<array<double>>, parameters map<string,string>"
+)
+
+
 def save(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowlens.operators.encode import Dictionary
 from flowlens.operators.joins import join_same, settle
@@ -99,7 +99,12 @@ class Normalization:
         folds, sequence_sums = _sequence_sums(channels)
         values, tabular_sums = _tabular_sums(width)
         totals = samples.selectExpr(*folds, *values).selectExpr(*sequence_sums, *tabular_sums)
-        rows = _moments(totals, {"s": channels, "t": width}).orderBy("part", "position").collect()
+        return cls.of_moments(_moments(totals, {"s": channels, "t": width}))
+
+    @classmethod
+    def of_moments(cls, moments: DataFrame) -> "Normalization":
+        """From rows of part, position, mean and std: as many as there are channels and values."""
+        rows = moments.orderBy("part", "position").collect()
 
         def listed(part: str, field: str) -> list:
             return [r[field] for r in rows if r["part"] == part]
@@ -129,6 +134,41 @@ class Normalization:
         return samples.withColumns({"sequences": sequences, "tabular": tabular})
 
 
+class FileStatistics:
+    """Normalization sums kept per file, so that a new file is merged without reading the old ones.
+
+    The stored table has one row per file: counts, sums and sums of squares of every channel and
+    tabular value. A file that comes again replaces its row.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, width: int, channels: int = CHANNELS):
+        self.spark, self.path, self.width, self.channels = spark, path, width, channels
+        self._folds, sequence_sums = _sequence_sums(channels)
+        self._values, tabular_sums = _tabular_sums(width)
+        self._sums = [*sequence_sums, *tabular_sums]
+        self._names = [part.rsplit(" AS ", 1)[1] for part in self._sums]
+
+    def add(self, samples: DataFrame, file: str) -> None:
+        """Sum the samples by their column `file` and store the sums."""
+        rows = samples.selectExpr(f"`{file}` AS file", *self._folds, *self._values)
+        sums = rows.groupBy("file").agg(*[F.expr(s) for s in self._sums])
+        counts = [F.col(n).cast("long").alias(n) if n in ("sn", "tn") else F.col(n).cast("double").alias(n) for n in self._names]
+        sums.select("file", *counts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").parquet(self.path)
+
+    def files(self) -> DataFrame:
+        """The stored sums, a row per file."""
+        kinds = ", ".join(f"{n} {'long' if n in ('sn', 'tn') else 'double'}" for n in self._names)
+        return self.spark.read.schema(f"{kinds}, file string").parquet(self.path)
+
+    def moments(self) -> DataFrame:
+        """part (`s` for channels, `t` for tabular values), position, mean and std over all files."""
+        totals = self.files().agg(*[F.sum(n).alias(n) for n in self._names])
+        return _moments(totals, {"s": self.channels, "t": self.width})
+
+    def normalization(self) -> Normalization:
+        return Normalization.of_moments(self.moments())
+
+
 def _scaled(mean: float, std: float):
     return lambda x: (x - F.lit(float(mean))) / F.lit(max(float(std), 1e-6))
 

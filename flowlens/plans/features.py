@@ -10,12 +10,12 @@ from flowlens.operators.encode import Dictionary
 from flowlens.plans import views as v
 from flowlens.plans.registry import query, r6, rounded
 from flowlens.schema import (
-
     FEATURE_COLUMNS,
     HISTOGRAM_FEATURES,
     HISTOGRAM_NAMES,
     SEQUENCE_LENGTH,
 )
+from flowlens.session import scratch_path
 
 KEY = ["flow_key", "flow_no"]
 
@@ -669,6 +669,17 @@ def tab_norm_stats(spark, sf):
     return rounded(stats.tabular_stats(_samples(spark, sf), sequences.TABULAR_WIDTH), "mean", "std")
 
 
+@query("stats_merge", _moment_sql("flows", SEQ_VALUES_SQL, "APP IS NOT NULL"))
+def stats_merge(spark, sf):
+    """The same statistics from sums per day: the second half of the days is merged into the stored first half."""
+    samples = _samples(spark, sf, keep=("ID", "day"))
+    held = stats.FileStatistics(spark, scratch_path(spark, "sums"), sequences.TABULAR_WIDTH)
+    late = F.dayofmonth("day") > 15
+    held.add(samples.filter(~late), "day")
+    held.add(samples.filter(late), "day")
+    return rounded(held.moments().filter("part = 't'").drop("part"), "mean", "std")
+
+
 @query(
     "zscore",
     ", logs AS (SELECT flow_key, flow_no, APP, PPI_LEN, position, ln(1 + ipt) AS ipt, direction, size FROM padded "

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowlens.operators import sampling, sequences, stats
+from flowlens.operators import joins, sampling, sequences, stats, tabular
 from flowlens.operators.encode import Dictionary
 from flowlens.plans import views as v
 from flowlens.plans.registry import query, r6
 from flowlens.schema import FLOW_SCHEMA
 from flowlens.session import scratch_path
 from flowlens.sources import readers, writers
+from flowlens.sources.cache import FeatureCache
 
 FLOW_FIELDS = [part.split() for part in FLOW_SCHEMA.split(", ")]
 
@@ -139,6 +140,75 @@ def src_manifest(spark, sf):
     )
 
 
+@query("manifest_chunks", "SELECT day AS file, count(*) AS num_samples FROM flows WHERE APP IS NOT NULL GROUP BY day")
+def manifest_chunks(spark, sf):
+    """The chunks a manifest lists: a folder of samples per day with its rows."""
+    flows = v.flows(spark, sf, stored=True)
+    labels = Dictionary.fit(flows, "APP")
+    versions = Dictionary.fit(flows, "QUIC_VERSION", first=1)
+    samples = writers.write_table(
+        sequences.samples(flows, labels, versions, keep=["ID", "day"]), scratch_path(spark, "chunks"), ["day"]
+    )
+    normalization = stats.Normalization.fit(samples, sequences.TABULAR_WIDTH)
+    chunks = samples.groupBy(F.col("day").cast("string").alias("file")).agg(F.count(F.lit(1)).alias("rows"))
+    path = scratch_path(spark, "manifest")
+    writers.write_json(writers.manifest(samples, "train", labels, versions, normalization, sequences.TABULAR_WIDTH, chunks), path)
+    return readers.read_manifest(spark, path).select(F.inline("chunks"))
+
+
+@query(
+    "src_service_map",
+    """
+    , map AS (SELECT DISTINCT event_type AS APP, CASE WHEN event_type IN ('click', 'view') THEN 'north' ELSE 'south' END AS provider
+              FROM packets WHERE event_type <> 'error')
+    SELECT provider, count(*) AS flows FROM flows LEFT JOIN map USING (APP) GROUP BY provider
+    """,
+)
+def src_service_map(spark, sf):
+    """Flows per provider, looked up in a service map file; services the file lacks have none."""
+    known = v.packets(spark, sf).filter("event_type <> 'error'").select(F.col("event_type").alias("APP")).distinct()
+    provider = F.when(F.col("APP").isin("click", "view"), "north").otherwise("south")
+    path = scratch_path(spark, "servicemap")
+    known.withColumn("provider", provider).coalesce(1).write.option("header", True).csv(path)
+    flows = v.flows(spark, sf, text=False).select("APP")
+    joined = joins.lookup(flows, readers.read_service_map(spark, path), "APP")
+    return joined.groupBy("provider").agg(F.count(F.lit(1)).alias("flows"))
+
+
+@query(
+    "src_statistics",
+    """
+    SELECT day, APP, seen, coalesce(saved, 0) AS saved
+    FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS APP, count(*) AS seen FROM packets GROUP BY ALL)
+    LEFT JOIN (SELECT day, APP, count(*) AS saved FROM flows GROUP BY ALL) USING (day, APP)
+    """,
+)
+def src_statistics(spark, sf):
+    """Saved and seen counts per day and service, from the statistics files that go with the flow files."""
+    seen = v.packets(spark, sf).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("event_type").alias("APP")).agg(
+        F.count(F.lit(1)).alias("seen")
+    )
+    path = scratch_path(spark, "stats")
+    # One JSON list per day, like the files that come with the data; it is as long as there are services.
+    listed = seen.groupBy("day").agg(F.to_json(F.collect_list(F.struct("APP", "seen"))).alias("value"))
+    listed.write.partitionBy("day").text(path)
+    read = readers.read_statistics(spark, path, "APP string, seen long, day string")
+    flows = v.flows(spark, sf, text=False).groupBy(F.col("day").cast("string").alias("day"), "APP").agg(F.count(F.lit(1)).alias("saved"))
+    return read.join(flows, ["day", "APP"], "left").select("day", "APP", "seen", F.coalesce("saved", F.lit(0)).alias("saved"))
+
+
+@query("feature_cache", "SELECT ID, APP, CAST(BYTES + BYTES_REV AS DOUBLE) AS TOTAL_BYTES, true AS hit FROM flows WHERE APP IS NOT NULL")
+def feature_cache(spark, sf):
+    """Features of a day folder from the cache, asked for a second time."""
+    source = scratch_path(spark, "source")
+    export_layout(v.flows(spark, sf)).write.parquet(source)
+    cache = FeatureCache(spark, scratch_path(spark, "cache"))
+    build = lambda path: tabular.derived_only(readers.read_flow_parquet(spark, path).filter("APP IS NOT NULL"), ["TOTAL_BYTES"], keep=["ID", "APP"])
+    cache.get(source, ["TOTAL_BYTES"], build)
+    table, hit = cache.get(source, ["TOTAL_BYTES"], build)
+    return table.withColumn("hit", F.lit(hit))
+
+
 @query(
     "src_traces",
     """

@@ -184,6 +184,19 @@ def score_rows(spark, sf):
     return scored.select("ID", "y_true", F.coalesce(fine, F.lit(False)).alias("scored"))
 
 
+@query("score_bundle", _HELD + "SELECT ID, y_true, true AS scored, 67 AS inputs FROM held")
+def score_bundle(spark, sf):
+    """Scores from a stored bundle alone: model, labels and feature list come from the loaded unit."""
+    train, valid = features(spark, sf)
+    model = models.train(train, models.decision_tree())
+    path = scratch_path(spark, "bundle")
+    models.Bundle(model, FEATURE_COLUMNS, model.stages[-1].getLabels(), [], parameters={"min_rows": 200}).save(path)
+    bundle = models.Bundle.load(spark, path)
+    scored = scoring.score_with_truth(bundle.model, valid.select("ID", "APP", *bundle.features), keep=["ID"])
+    fine = F.col("y_pred").isin(bundle.labels) & F.col("confidence").between(0, 1)
+    return scored.select("ID", "y_true", F.coalesce(fine, F.lit(False)).alias("scored"), F.lit(len(bundle.features)).alias("inputs"))
+
+
 @query("evaluate_support", _HELD + "SELECT y_true AS label, count(*) AS support FROM held GROUP BY y_true")
 def evaluate_support(spark, sf):
     return evaluate(spark, sf).filter("support > 0").select("label", "support")
