@@ -101,7 +101,9 @@ def test_model_round_trip(spark, sf, tmp_path):
     loaded = models.load(str(tmp_path / "model"))
     first, second = (scoring.score(m, valid, keep=["ID"]).orderBy("ID").collect() for m in (model, loaded))
     assert first == second
-    assert scoring.score_with_truth(loaded, valid).filter("matches").count() > 0.8 * valid.count()
+    # Stray classes stand in no relation to the inputs, so the floor holds for the other rows.
+    told = valid.filter(F.col("head_id") * 7919 % 100 >= learning.STRAY)
+    assert scoring.score_with_truth(loaded, told).filter("matches").count() > 0.8 * told.count()
     with pytest.raises(Exception):
         models.load(str(tmp_path / "absent"))
 
