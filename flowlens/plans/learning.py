@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from flowlens.operators import boosting, metrics, models, sampling, scoring, sequences, stats, tabular
+from flowlens.operators import boosting, metrics, models, network, sampling, scoring, sequences, stats, tabular
 from flowlens.operators.encode import Dictionary
 from flowlens.plans import views as v
 from flowlens.plans.registry import query, r6
@@ -105,17 +105,73 @@ def boost_sums(spark, sf):
     return sums.select("label", "feature", "bin", r6(F.col("g")).alias("g"), r6(F.col("h")).alias("h"))
 
 
-def _network(spark, sf):
-    """Trained network with all that scoring needs, and its validation samples."""
+def _samples(spark, sf):
+    """Training and validation samples, the statistics of the former and the number of known versions."""
     flows = _with_class(v.flows(spark, sf, stored=True))
     versions = Dictionary.fit(flows, "QUIC_VERSION", first=1)
     samples = sequences.samples(flows, None, versions, keep=["ID", "head_id", "APP"])
     train, valid = _write(samples)
-    normalization = stats.Normalization.fit(train, sequences.TABULAR_WIDTH)
-    known = versions.frame.count()
+    return train, valid, stats.Normalization.fit(train, sequences.TABULAR_WIDTH), versions.frame.count()
+
+
+def _network(spark, sf):
+    """Trained network with all that scoring needs, and its validation samples."""
+    train, valid, normalization, known = _samples(spark, sf)
     inputs = models.network_inputs(normalization.apply(train), known)
-    network = models.perceptron(models.network_width(known), 4)
-    return models.train_vectors(inputs, network), normalization, known, valid
+    perceptron = models.perceptron(models.network_width(known), 4)
+    return models.train_vectors(inputs, perceptron), normalization, known, valid
+
+
+def _weighted(spark, sf):
+    """The class-weighted network and its validation inputs."""
+    train, valid, normalization, known = _samples(spark, sf)
+    held, judged = (models.network_inputs(normalization.apply(rows), known) for rows in (train, valid))
+    return network.fit(held, judged), judged
+
+
+@query("model_network")
+def model_network(spark, sf):
+    """Validation metrics of the class-weighted network, from the epoch with the best validation accuracy."""
+    net, judged = _weighted(spark, sf)
+    summary = metrics.summary(net.score(judged.withColumnRenamed("APP", "y_true"), ["y_true"]).select("y_true", "y_pred"))
+    return summary.select(F.lit("network").alias("model"), "rows", r6(F.col("accuracy")).alias("accuracy"),
+                          r6(F.col("macro_f1")).alias("macro_f1"))
+
+
+@query("network_epochs")
+def network_epochs(spark, sf):
+    """Weighted loss and accuracy on training and validation rows after every epoch, and the epoch kept."""
+    return _weighted(spark, sf)[0].epochs()
+
+
+SLOPE_INPUTS = ["PACKETS", "PPI_LEN", "PPI_ROUNDTRIPS"]
+_SMOOTHING = network.Settings().smoothing
+
+
+def _slope_sql() -> str:
+    inputs = ", ".join(f"{{'f': '{f}', 'v': CAST({f} AS DOUBLE)}}" for f in SLOPE_INPUTS)
+    return f"""
+    , classes AS (
+      SELECT APP AS label, sum(count(*)) OVER () * 1.0::DOUBLE / (count(*) OVER () * count(*)) AS w, count(*) OVER () AS n
+      FROM flows WHERE APP IS NOT NULL GROUP BY APP),
+    spread AS (SELECT APP, unnest([{inputs}, {{'f': '(bias)', 'v': 1.0::DOUBLE}}]) AS x FROM flows WHERE APP IS NOT NULL),
+    sums AS (SELECT APP, x.f AS input, sum(x.v) AS total FROM spread GROUP BY ALL),
+    whole AS (SELECT sum(w) AS all_w FROM classes),
+    held AS (SELECT count(*) AS rows FROM flows WHERE APP IS NOT NULL)
+    SELECT c.label, s.input,
+           round(sum(s.total * (((1 - {_SMOOTHING}) * o.w + {_SMOOTHING} / c.n * all_w) / c.n
+                 - c.w * ((CASE WHEN o.label = c.label THEN 1 - {_SMOOTHING} ELSE 0 END) + {_SMOOTHING} / c.n))) / any_value(rows), 6) AS slope
+    FROM classes c, sums s JOIN classes o ON o.label = s.APP, whole, held GROUP BY c.label, s.input
+    """
+
+
+@query("network_slopes", _slope_sql())
+def network_slopes(spark, sf):
+    """Weighted gradient sums of the first step over all rows, which the parameters of a network without hidden layers move by."""
+    rows = v.flows(spark, sf, text=False, stored=True)
+    held = rows.withColumn("inputs", F.array(*[F.col(c).cast("double") for c in SLOPE_INPUTS]))
+    settings = network.Settings(hidden=(), steps=1)
+    return network.first_gradient(held, SLOPE_INPUTS, settings=settings).withColumn("slope", r6(F.col("slope")))
 
 
 @query("model_mlp")
