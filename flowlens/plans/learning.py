@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from flowlens.operators import boosting, metrics, models, network, sampling, scoring, sequences, stats, tabular
+from flowlens.operators import boosting, forest, metrics, models, network, sampling, scoring, sequences, stats, tabular
 from flowlens.operators.encode import Dictionary
 from flowlens.plans import views as v
 from flowlens.plans.registry import query, r6
@@ -54,8 +54,7 @@ def model_dt(spark, sf):
 @query("model_rf")
 def model_rf(spark, sf):
     train, valid = features(spark, sf)
-    forest = models.random_forest()
-    return _summary("random forest", models.train(train, forest, balanced=True), valid)
+    return _summary("random forest", models.train(train, models.random_forest(), balanced=True), valid)
 
 
 @query("model_rf_hist")
@@ -64,6 +63,41 @@ def model_rf_hist(spark, sf):
     return _summary("histogram forest", models.train(train, models.histogram_forest()), valid)
 
 
+@query("model_forest")
+def model_forest(spark, sf):
+    """Validation metrics of the forest whose class weights are balanced in every bag."""
+    train, valid = features(spark, sf)
+    scored = forest.fit(train, key="head_id").score(valid.withColumnRenamed("APP", "y_true"), ["y_true"])
+    summary = metrics.summary(scored.select("y_true", "y_pred"))
+    return summary.select(F.lit("balanced forest").alias("model"), "rows", r6(F.col("accuracy")).alias("accuracy"),
+                          r6(F.col("macro_f1")).alias("macro_f1"))
+
+
+def _bags_sql() -> str:
+    settings, low = forest.Settings(), 2**32
+    (first, a), (second, b) = forest.MIX
+    return f"""
+    , seeded AS (
+      SELECT APP AS label, CAST(t AS INTEGER) AS tree,
+             xor(xor(head_id, head_id >> 32) & {low - 1}, CAST(({settings.seed} + (t + 1) * {forest.TREE_STEP}) % {low} AS BIGINT)) AS x
+      FROM flows, range({settings.trees}) r(t) WHERE APP IS NOT NULL),
+    once AS (SELECT label, tree, CAST(xor(x, x >> {first})::HUGEINT * {a} % {low} AS BIGINT) AS x FROM seeded),
+    twice AS (SELECT label, tree, CAST(xor(x, x >> {second})::HUGEINT * {b} % {low} AS BIGINT) AS x FROM once),
+    times AS (SELECT label, tree, len(list_filter({forest.DRAW_EDGES}, lambda e: e <= xor(x, x >> 16))) AS n FROM twice),
+    held AS (SELECT tree, label, CAST(sum(n) AS BIGINT) AS drawn FROM times GROUP BY tree, label)
+    SELECT tree, label, drawn,
+           round(CASE WHEN drawn = 0 THEN 0 ELSE sum(drawn) OVER of_tree * 1.0::DOUBLE / count(*) FILTER (WHERE drawn > 0) OVER of_tree / drawn END, 6) AS weight
+    FROM held WINDOW of_tree AS (PARTITION BY tree)
+    """
+
+
+@query("forest_bags", _bags_sql())
+def forest_bags(spark, sf):
+    """Rows drawn and class weight of every class in every bag of the default forest."""
+    rows = v.flows(spark, sf, text=False, stored=True)
+    return forest.bags(rows, "head_id").withColumn("weight", r6(F.col("weight")))
+
+
 @query("model_gbt")
 def model_gbt(spark, sf):
     """Validation metrics of boosted trees, from the round with the lowest validation loss."""
