@@ -12,6 +12,7 @@ from flowlens.schema import SEQUENCE_LENGTH
 from flowlens.session import scratch_path
 from flowlens.sources.writers import write_table
 from flowlens.streaming import batches, packets as st
+from flowlens.streaming.replay import Replay
 
 DELAY = "1 hour"
 DELAY_US = v.HOUR_US
@@ -203,13 +204,15 @@ def st_totals(spark, sf):
     return spark.read.schema("packets long, bytes long").parquet(output)
 
 
-@query("st_replay", "SELECT ID, head_id, APP FROM flows WHERE APP IS NOT NULL")
+@query("st_replay", "SELECT ID, head_id, APP, CAST(unnest(range(2)) AS BIGINT) AS epoch FROM flows WHERE APP IS NOT NULL")
 def st_replay(spark, sf):
-    flows = v.flows(spark, sf, text=False).filter(F.col("APP").isNotNull()).select("ID", "head_id", "APP")
-    path = scratch_path(spark, "replay")
-    st.write_replay(flows, path, "head_id", files=4)
-    stream = st.read_stream(spark, path, "ID string, head_id long, APP string", files_per_trigger=1)
-    return st.run_once(stream)
+    """Two epochs of labelled flows in an order of their own each, replayed in some ten micro-batches."""
+    flows = v.flows(spark, sf, text=False, stored=True).filter(F.col("APP").isNotNull()).select("ID", "head_id", "APP")
+    marks, output = scratch_path(spark, "marks"), scratch_path(spark, "replayed")
+    slots = max(1, -(-flows.count() // 5))
+    replay = Replay.of(flows, "head_id", slots, epochs=2)
+    replay.run(lambda batch, number: batch.write.mode("overwrite").parquet(f"{output}/batch={number}"), marks)
+    return spark.read.parquet(output).select("ID", "head_id", "APP", "epoch")
 
 
 @query("st_score")
