@@ -1,8 +1,8 @@
 """Exact samples, splits and per-class picks without sorting whole tables.
 
 A row's score is a uniform integer in [0, 2^32), normally a hash of its id. The smallest
-scores of a group are found from a histogram of their top bits, so only one narrow bucket
-per group is ever ranked and the wide rows are filtered where they lie.
+scores of a group are found from a histogram of their top bits and one of the full scores in the
+border bucket, so only rows of one score are ever ranked and the wide rows are filtered where they lie.
 """
 
 from __future__ import annotations
@@ -13,34 +13,43 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowlens.functions.numeric import hash32
 from flowlens.operators.joins import join_same, settle
+from flowlens.session import checkpointed
 
 SCORE_BITS = 32
 BUCKET_BITS = 18
 
 
+def _border(counts: DataFrame, groups: list[str], cell: str, quota: Column) -> DataFrame:
+    """Per group the cell in which the quota ends, and how many of its rows are inside.
+
+    `counts` has the rows `_n` of each cell; `quota` may use `_rows`, the size of the group.
+    """
+    whole = Window.partitionBy(*groups)
+    upto = whole.orderBy(cell).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = counts.withColumns({"_upto": F.sum("_n").over(upto), "_rows": F.sum("_n").over(whole)})
+    reached = sums.withColumn("_quota", quota.cast("long"))
+    inside = (F.col("_upto") >= F.col("_quota")) & (F.col("_upto") - F.col("_n") < F.col("_quota"))
+    return reached.filter(inside).select(*groups, cell, (F.col("_quota") - F.col("_upto") + F.col("_n")).alias("_need"))
+
+
 def _cuts(df: DataFrame, groups: list[str], score: Column, tie: str, quota: Column) -> DataFrame:
-    """Per group the last (score, tie) inside the quota, and whether every row is inside."""
+    """Per group the last (score, tie) inside the quota; groups without a picked row have none.
+
+    Two histograms lead to it: of the top bits over all rows (at most 2^BUCKET_BITS cells a group), and of
+    the full scores over the rows of the border buckets, which are written out. Only rows of one
+    score are ranked.
+    """
     narrow = df.select(*groups, score.cast("long").alias("_score"), F.col(tie).alias("_tie"))
     narrow = narrow.withColumn("_bucket", F.shiftright("_score", SCORE_BITS - BUCKET_BITS).cast("int"))
     counts = narrow.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    # At most 2^BUCKET_BITS rows per group from here on.
-    whole = Window.partitionBy(*groups)
-    upto = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    reached = counts.select(
-        *groups,
-        "_bucket",
-        "_n",
-        F.sum("_n").over(upto).alias("_upto"),
-        F.sum("_n").over(whole).alias("_rows"),
-    ).withColumn("_quota", quota.cast("long"))
-    border = reached.filter(
-        (F.col("_upto") >= F.col("_quota")) & (F.col("_upto") - F.col("_n") < F.col("_quota"))
-    ).select(*groups, "_bucket", (F.col("_quota") - F.col("_upto") + F.col("_n")).alias("_need"))
     # One row per group; known beforehand, so that only rows of border buckets move.
-    border, small = settle(border)
-    rank = F.row_number().over(whole.orderBy("_score", "_tie"))
+    border, small = settle(_border(counts, groups, "_bucket", quota))
+    held = checkpointed(join_same(narrow, border, [*groups, "_bucket"], "inner", small=small).drop("_bucket"))
+    fine = held.groupBy(*groups, "_score").agg(F.count(F.lit(1)).alias("_n"), F.first("_need").alias("_quota0"))
+    last, small = settle(_border(fine, groups, "_score", F.col("_quota0")))
+    rank = F.row_number().over(Window.partitionBy(*groups).orderBy("_tie"))
     return (
-        join_same(narrow, border, [*groups, "_bucket"], "inner", small=small)
+        join_same(held.drop("_need"), last, [*groups, "_score"], "inner", small=small)
         .withColumn("_rank", rank)
         .filter(F.col("_rank") == F.col("_need"))
         .select(*groups, F.struct("_score", "_tie").alias("_cut"))

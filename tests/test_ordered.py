@@ -90,6 +90,20 @@ def test_sample_with_tied_scores(spark):
     assert picked.filter("id % 3 = 0").count() == 137
 
 
+def test_sample_within_one_bucket(spark):
+    """Scores that share their top bits are told apart by the rest, ties by the id."""
+    score = F.lit(5 << 20) + (F.col("id") * 37 % 500)
+    rows = spark.range(1000).withColumn("g", F.col("id") % 3)
+    picked = sampling.sample_rows(rows, 141, "id", score=score).collect()
+    order = sorted(range(1000), key=lambda i: (i * 37 % 500, i))
+    assert sorted(r["id"] for r in picked) == sorted(order[:141])
+    split = sampling.stratified_split(rows, "g", "id", 0.25, score=score)
+    for g in range(3):
+        members = [i for i in order if i % 3 == g]
+        want = sorted(members[: round(0.25 * len(members))])
+        assert sorted(r["id"] for r in split.filter(f"g = {g} and is_validation").collect()) == want
+
+
 def test_sample_larger_than_table(spark):
     assert sampling.sample_rows(spark.range(10), 50, "id").count() == 10
     assert sampling.sample_rows(spark.range(10), 0, "id").count() == 0
