@@ -154,7 +154,7 @@ def row_count(spark, sf):
 
 @query("partition_profile")
 def partition_profile(spark, sf):
-    return stats.partition_profile(v.flows(spark, sf).repartition(16))
+    return stats.partition_profile(v.flows(spark, sf).repartition("flow_key", "flow_no"))
 
 
 @query(
