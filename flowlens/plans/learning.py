@@ -165,7 +165,7 @@ def _weighted(spark, sf):
 
 @query("model_network")
 def model_network(spark, sf):
-    """Validation metrics of the class-weighted network, from the epoch with the best validation accuracy."""
+    """Validation metrics of the class-weighted network, from the epoch that the same validation rows chose."""
     net, judged = _weighted(spark, sf)
     summary = metrics.summary(net.score(judged.withColumnRenamed("APP", "y_true"), ["y_true"]).select("y_true", "y_pred"))
     return summary.select(F.lit("network").alias("model"), "rows", r6(F.col("accuracy")).alias("accuracy"),
