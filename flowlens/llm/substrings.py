@@ -1,15 +1,19 @@
-"""Removal of repeated passages by phrases cut at anchors and counts of phrase and window hashes.
+"""Removal of repeated passages by a relative Lempel-Ziv parse against indexed reference blocks.
 
 A text is cut into phrases at content-defined anchors: the
 smallest hash among the short word groups of a window picks the anchor, so two equal windows have
 equal anchors wherever they stand, and every window belongs to the one phrase that holds it
-together with its anchor. Phrases are grouped by the hash of their anchor.
-
-A phrase that stands elsewhere as a whole has all its windows repeated. Where the anchor is known
-but the words differ from every other phrase of that anchor, the phrase is checked window by window
-against the windows of all phrases of the same anchor. This replaces a relative Lempel-Ziv parse:
-no longest match is searched and no factor is formed. Windows with an anchor of their
-own occur once and are never looked at again.
+together with its anchor. A text can share a window only with phrases of the same anchor; these
+are its reference, and anchors are dealt into blocks of bounded size.
+
+A phrase that stands elsewhere as a whole is one factor, known from counts of phrase hashes. Where
+the anchor is known but the words differ from every other phrase of that anchor, the phrase goes to
+the block of its anchor and is factored there: the block lines its phrases up at their anchors, and
+from the first window that lies in no factor yet the longest match with any other phrase becomes the
+next factor. Factors shorter than a window are dropped. The next factor starts at the first window
+that reaches over the end of the last one, so windows on factor boundaries are checked as well.
+Phrases whose anchor occurs in more different phrases than a block may hold are checked by counts of
+(anchor, window), one window at a time. Phrases with an anchor of their own are never looked at again.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowlens.llm import words as W
@@ -30,7 +35,11 @@ WINDOW = 35
 #: Words of an anchor.
 ANCHOR = 6
 
-#: Phrase found elsewhere as a whole; boundary to check; whole phrase that also stands for its copies in checks.
+#: Phrases of a block, on average, and different phrases of one anchor that a block may hold.
+BLOCK = 8192
+WIDE = 4096
+
+#: Phrase found elsewhere as a whole; phrase to factor; whole phrase that also stands for its copies as reference.
 FULL, BOUNDARY, REFERENCE = 1, 2, 3
 
 _U = np.uint64
@@ -80,8 +89,11 @@ class Parse:
         self.low = first[heads]
         self.high = first[np.append(heads[1:], len(first)) - 1] if len(heads) else first
         self.anchor = low[owner[heads]]
+        self.hashed = hashed
         lengths = self.high - self.low + width
-        inside = (owner[heads] - self.low).astype(_U)
+        #: First word of the anchor, counted from the phrase's first word.
+        self.inside = owner[heads] - self.low
+        inside = self.inside.astype(_U)
         self.full = W.mix(self._joined(self.low, lengths) + inside * _U(0x9E3779B97F4A7C15) + lengths.astype(_U))
         #: First phrase of each document and the total.
         self.phrases = np.searchsorted(self.low, self.bounds, "left")
@@ -139,47 +151,174 @@ def phrases(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text_key", "text").mapInArrow(run, schema)
 
 
-def _boundary_windows(pending: DataFrame, width: int) -> DataFrame:
-    """Windows of the phrases to check: hash, document, first word, and whether its verdict is needed."""
+def _checked(batches: Iterator[pa.RecordBatch], width: int, wide: bool) -> Iterator[tuple]:
+    """Parsed chunks of pending rows: parse, phrases to look at, their kinds and a picker of row columns."""
+    for batch in batches:
+        marks = batch.column(4).to_pylist()
+        for offset, raw in W.chunks(batch.column(3).to_pylist()):
+            parse = Parse(raw, width)
+            kind = np.zeros(len(parse.low), np.int8)
+            for d in range(len(raw)):
+                for mark in marks[offset + d] or ():
+                    if mark["wide"] == wide:
+                        kind[parse.phrases[d] + mark["place"]] = mark["kind"]
+            checked = np.flatnonzero(kind >= BOUNDARY)
+            yield parse, checked, kind, lambda column, doc: batch.column(column).take(pa.array(offset + doc))
+
+
+def _sequences(pending: DataFrame, width: int) -> DataFrame:
+    """Phrases to factor and their reference: anchor, place of the anchor, hashes of the words."""
     arrow = pa.schema(
         [
-            ("window", pa.int64()),
+            ("anchor", pa.int64()),
             ("doc_id", pa.int64()),
             ("text_key", pa.int64()),
-            ("first", pa.int32()),
+            ("copies", pa.int64()),
+            ("first", pa.int64()),
+            ("inside", pa.int32()),
             ("asked", pa.bool_()),
+            ("words", pa.list_(pa.int64())),
         ]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, keys, marks = (batch.column(i).to_pylist() for i in (0, 1, 3))
-            for offset, raw in W.chunks(batch.column(2).to_pylist()):
-                parse = Parse(raw, width)
-                kind = np.zeros(len(parse.low), np.int8)
-                for d in range(len(raw)):
-                    for mark in marks[offset + d] or ():
-                        kind[parse.phrases[d] + mark["place"]] = mark["kind"]
-                checked = np.flatnonzero(kind >= BOUNDARY)
-                sizes = parse.high[checked] - parse.low[checked] + 1
-                owner = np.repeat(checked, sizes)
-                step = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                start = parse.low[owner] + step
-                doc = np.searchsorted(parse.bounds, start, "right") - 1
-                held = offset + doc
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(parse.windows(start, width).view(np.int64)),
-                        pa.array(ids, pa.int64()).take(pa.array(held)),
-                        pa.array(keys, pa.int64()).take(pa.array(held)),
-                        pa.array((start - parse.bounds[doc]).astype(np.int32)),
-                        pa.array(kind[owner] == BOUNDARY),
-                    ],
-                    schema=arrow,
-                )
+        for parse, checked, kind, pick in _checked(batches, width, wide=False):
+            low = parse.low[checked]
+            sizes = parse.high[checked] - low + width
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            words = parse.hashed[np.arange(ends[-1]) + np.repeat(low - ends[:-1], sizes)]
+            doc = np.searchsorted(parse.bounds, low, "right") - 1
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(parse.anchor[checked].view(np.int64)),
+                    *(pick(column, doc) for column in (0, 1, 2)),
+                    pa.array(low - parse.bounds[doc]),
+                    pa.array(parse.inside[checked].astype(np.int32)),
+                    pa.array(kind[checked] == BOUNDARY),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words.view(np.int64))),
+                ],
+                schema=arrow,
+            )
+
+    return pending.select("doc_id", "text_key", "copies", "text", "marks").mapInArrow(
+        run,
+        "anchor long, doc_id long, text_key long, copies long, first long, inside int, asked boolean, words array<long>",
+    )
 
-    return pending.select("doc_id", "text_key", "text", "marks").mapInArrow(
-        run, "window long, doc_id long, text_key long, first int, asked boolean"
+
+def _refined(rows: np.ndarray, group: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that share group and value with another row, and the number of that finer group."""
+    order = np.lexsort((value, group))
+    rows, group, value = rows[order], group[order], value[order]
+    fresh = np.ones(len(rows) + 1, bool)
+    fresh[1:-1] = (group[1:] != group[:-1]) | (value[1:] != value[:-1])
+    shared = ~(fresh[:-1] & fresh[1:])
+    return rows[shared], np.cumsum(fresh[:-1])[shared]
+
+
+def greedy_factors(
+    anchor: np.ndarray, inside: np.ndarray, sizes: np.ndarray, words: np.ndarray, asked: np.ndarray, width: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Factors of the asked phrases of a block: (phrase, first word within it, length), `width` words or more.
+
+    `words` holds the word hashes of all phrases one after another. Column c of the grid is the
+    same place relative to the anchor in every phrase.
+    """
+    reach = int(inside.max())
+    begin = reach - inside
+    end = begin + sizes
+    ends = np.cumsum(sizes)
+    grid = np.zeros((len(sizes), int(end.max())), _U)
+    place = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes) + np.repeat(begin, sizes)
+    grid[np.repeat(np.arange(len(sizes)), sizes), place] = words
+    powers, _ = _ladder(1 << max(4, grid.shape[1].bit_length()))
+    sums = np.zeros((len(sizes), grid.shape[1] + 1), _U)
+    np.cumsum(grid * powers[: grid.shape[1]], axis=1, out=sums[:, 1:])
+    family = np.unique(anchor, return_inverse=True)[1]
+    at = begin.copy()
+    found = []
+    for start in range(reach + 1):
+        open_ = asked & (at == start) & (start + width <= end)
+        if not open_.any():
+            continue
+        rows = np.flatnonzero((begin <= start) & (start + width <= end))
+        rows, group = _refined(rows, family[rows], sums[rows, start + width] - sums[rows, start])
+        longest = np.zeros(len(sizes), np.int64)
+        size = width
+        while len(rows):
+            longest[rows] = size
+            more = start + size < end[rows]
+            rows, group = rows[more], group[more]
+            if len(rows):
+                rows, group = _refined(rows, group, grid[rows, start + size])
+            size += 1
+        hit = np.flatnonzero(open_ & (longest > 0))
+        found.append((hit, start - begin[hit], longest[hit]))
+        at = np.where(open_, start + np.maximum(1, longest - width + 1), at)
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
+    return tuple(np.concatenate(part) for part in zip(*found))
+
+
+def _factors(sequences: DataFrame, width: int, block: int) -> DataFrame:
+    """doc_id, text_key, start, length of the factors found in the blocks of all anchors."""
+    arrow = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int64()), ("length", pa.int64())])
+
+    def run(held: pa.Table) -> pa.Table:
+        held = held.combine_chunks()
+        sizes = pc.list_value_length(held["words"]).to_numpy().astype(np.int64)
+        words = pc.list_flatten(held["words"]).to_numpy().view(_U)
+        anchor, inside, asked = (held[name].to_numpy() for name in ("anchor", "inside", "asked"))
+        row, start, length = greedy_factors(anchor, inside.astype(np.int64), sizes, words, asked, width)
+        pick = pa.array(row)
+        return pa.table(
+            [held["doc_id"].take(pick), held["text_key"].take(pick), held["first"].to_numpy()[row] + start, length],
+            schema=arrow,
+        )
+
+    blocks = max(1, -(-sequences.count() // block))
+    # Rows that repeat id and text hold the same reference phrases; one of them is enough.
+    once = sequences.where("copies > 1").dropDuplicates(["doc_id", "text_key", "first"])
+    dealt = sequences.where("copies = 1").unionByName(once)
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("anchor"), F.lit(blocks))).drop("copies")
+    return dealt.groupBy("block").applyInArrow(run, "doc_id long, text_key long, start long, length long")
+
+
+def _wide_windows(pending: DataFrame, width: int) -> DataFrame:
+    """Windows of phrases with a very frequent anchor: hash, document, first word, and whether its verdict is needed."""
+    arrow = pa.schema(
+        [
+            ("anchor", pa.int64()),
+            ("window", pa.int64()),
+            ("doc_id", pa.int64()),
+            ("text_key", pa.int64()),
+            ("start", pa.int64()),
+            ("asked", pa.bool_()),
+        ]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parse, checked, kind, pick in _checked(batches, width, wide=True):
+            sizes = parse.high[checked] - parse.low[checked] + 1
+            owner = np.repeat(checked, sizes)
+            start = parse.low[owner] + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            doc = np.searchsorted(parse.bounds, start, "right") - 1
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(parse.anchor[owner].view(np.int64)),
+                    pa.array(parse.windows(start, width).view(np.int64)),
+                    pick(0, doc),
+                    pick(1, doc),
+                    pa.array(start - parse.bounds[doc]),
+                    pa.array(kind[owner] == BOUNDARY),
+                ],
+                schema=arrow,
+            )
+
+    return (
+        pending.where(F.exists("marks", lambda m: m.wide & (m.kind >= BOUNDARY)))
+        .select("doc_id", "text_key", "copies", "text", "marks")
+        .mapInArrow(run, "anchor long, window long, doc_id long, text_key long, start long, asked boolean")
     )
 
 
@@ -209,9 +348,9 @@ def _cleaned(pending: DataFrame, width: int) -> DataFrame:
                             j = parse.phrases[d] + mark["place"]
                             change[parse.low[j] - base] += 1
                             change[parse.high[j] - base + width] -= 1
-                    hits = np.array(repeats[offset + d] or [], np.int64)
-                    np.add.at(change, hits, 1)
-                    np.add.at(change, hits + width, -1)
+                    for factor in repeats[offset + d] or ():
+                        change[factor["start"]] += 1
+                        change[factor["start"] + factor["length"]] -= 1
                     gone = np.cumsum(change)[:n] > 0
                     edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
                     kept = [word for word, out in zip(parse.words(d), gone.tolist()) if not out]
@@ -237,7 +376,12 @@ def _same_row(left: str, right: str) -> Column:
 
 
 def repeated_passages(
-    docs: DataFrame, width: int = WINDOW, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    width: int = WINDOW,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    block: int = BLOCK,
+    wide: int = WIDE,
 ) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, spans of every document row.
 
@@ -259,33 +403,34 @@ def repeated_passages(
     # The reference index: how often each phrase stands, and how many phrases share its anchor.
     counted = each.groupBy("anchors", "fulls").agg(F.count("*").alias("n"), F.min(ticket).alias("chosen"))
     counted = settle(counted, "reference")
-    mixed = counted.groupBy("anchors").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchors")
-    mixed = settle(mixed.withColumn("mixed", F.lit(True)), "mixed")
-    index = settle(counted.join(mixed, "anchors", "left").where("n > 1 OR mixed").na.fill(False, ["mixed"]), "index")
+    mixed = counted.groupBy("anchors").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    mixed = settle(mixed.select("anchors", F.lit(True).alias("mixed"), (F.col("kinds") > wide).alias("wide")), "mixed")
+    index = counted.join(mixed, "anchors", "left").where("n > 1 OR mixed").na.fill(False, ["mixed", "wide"])
+    index = settle(index, "index")
     release(counted, mixed)
 
     kind = F.when(F.col("n") == 1, BOUNDARY).when(F.col("mixed") & (ticket == F.col("chosen")), REFERENCE)
     marks = (
         each.join(index, ["anchors", "fulls"])
-        .select("doc_id", "text_key", "place", kind.otherwise(FULL).alias("kind"))
+        .select("doc_id", "text_key", "place", kind.otherwise(FULL).alias("kind"), "wide")
         .groupBy("doc_id", "text_key")
-        .agg(F.collect_set(F.struct("place", "kind")).alias("marks"))
+        .agg(F.collect_set(F.struct("place", "kind", "wide")).alias("marks"), F.count("*").alias("rows"))
+        .select("doc_id", "text_key", "marks", (F.col("rows") / F.size("marks")).cast("long").alias("copies"))
     )
     marks = settle(marks, "marks")
     pending = settle(
-        plain.alias("d").join(marks.alias("m"), _same_row("d", "m")).select("d.*", "m.marks"), "pending"
+        plain.alias("d").join(marks.alias("m"), _same_row("d", "m")).select("d.*", "m.marks", "m.copies"), "pending"
     )
 
-    windows = settle(_boundary_windows(pending, width), "windows")
-    twice = settle(windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window"), "twice")
-    repeats = (
-        windows.where("asked")
-        .join(twice, "window")
-        .groupBy("doc_id", "text_key")
-        .agg(F.collect_set("first").alias("repeats"))
-    )
+    sequences = settle(_sequences(pending, width), "sequences")
+    windows = settle(_wide_windows(pending, width), "windows")
+    keys = ["anchor", "window"]
+    twice = settle(windows.groupBy(keys).agg(F.count("*").alias("n")).where("n > 1").select(keys), "twice")
+    single = windows.where("asked").join(twice, keys).select("doc_id", "text_key", "start")
+    found = _factors(sequences, width, block).unionByName(single.withColumn("length", F.lit(width).cast("long")))
+    repeats = found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "length")).alias("repeats"))
     repeats = settle(repeats, "repeats")
-    release(windows, twice, index)
+    release(sequences, windows, twice, index)
     cleaned = _cleaned(
         pending.alias("d").join(repeats.alias("m"), _same_row("d", "m"), "left").select("d.*", "m.repeats"), width
     ).select(

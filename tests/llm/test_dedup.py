@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+
 from flowlens.llm import lines, minhash, substrings
 
 
@@ -129,6 +131,68 @@ def test_passages_equal_brute_force(spark):
         assert ours == _passages(rows, width), width
 
 
+def test_passages_of_any_block_size(spark):
+    """Small blocks, anchors too frequent for a block, and both at once give the same passages."""
+    rows = _corpus(8)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for block, wide in ((3, 4096), (8192, 0), (5, 2)):
+        got = sorted(substrings.repeated_passages(docs, 7, block=block, wide=wide).collect(), key=lambda r: r.doc_id)
+        ours = [
+            (r.doc_id, r.n_words, r.n_removed, [x for s in r.spans for x in range(s.start, s.end)]) for r in got
+        ]
+        assert ours == _passages(rows, 7), (block, wide)
+
+
+def test_factors_are_the_longest_matches():
+    """Every factor is as long as any other phrase of the anchor allows, and every shared window lies in one."""
+    pick = random.Random(9)
+    width = 5
+    for _ in range(200):
+        base = [[pick.randrange(2) for _ in range(9)] for _ in range(4)]
+        cut = [(pick.randrange(5), pick.randrange(5, 10)) for _ in range(12)]
+        cut = [(a, max(b, a + width)) for a, b in cut if a + width <= 9]
+        phrases = sorted({(pick.randrange(2), a, tuple(pick.choice(base)[a:b])) for a, b in cut})
+        anchor = np.array([p[0] for p in phrases])
+        inside = np.array([4 - p[1] for p in phrases])
+        sizes = np.array([len(p[2]) for p in phrases])
+        words = np.array([w for p in phrases for w in p[2]], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        asked = np.array([pick.random() < 0.8 for _ in phrases])
+        got = {}
+        for row, start, length in zip(*substrings.greedy_factors(anchor, inside, sizes, words, asked, width)):
+            got.setdefault(int(row), []).append((int(start), int(length)))
+
+        def longest(i, start):
+            _, begin, mine = phrases[i]
+            best = 0
+            for j, (key, other, theirs) in enumerate(phrases):
+                shift = begin + start - other
+                if j != i and key == phrases[i][0] and 0 <= shift:
+                    n = 0
+                    while start + n < len(mine) and shift + n < len(theirs) and mine[start + n] == theirs[shift + n]:
+                        n += 1
+                    best = max(best, n)
+            return best if best >= width else 0
+
+        for i in range(len(phrases)):
+            expected, start = [], 0
+            while start + width <= len(phrases[i][2]):
+                n = longest(i, start)
+                if n:
+                    expected.append((start, n))
+                start += max(1, n - width + 1)
+            assert got.get(i, []) == (expected if asked[i] else []), phrases
+
+
+def test_copies_of_a_reference(spark):
+    """Repeated rows stand for one reference; a variant that shares windows with them still loses these."""
+    passage = [f"p{i}" for i in range(70)]
+    variant = passage[:40] + ["other"] + passage[41:]
+    rows = [(1, " ".join(passage))] * 30 + [(None, " ".join(passage))] * 5 + [(2, " ".join(variant)), (3, "x y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in substrings.repeated_passages(docs).collect())
+    assert got == [(0, 70, 70)] * 5 + [(1, 70, 70)] * 30 + [(2, 70, 40), (3, 2, 0)]
+
+
 def test_passages_edges(spark):
     long = " ".join(f"x{i}" for i in range(50))
     rows = [(1, long, 0), (1, long, 0), (None, "short text", 0), (None, None, 0), (3, "", 0)]
