@@ -38,6 +38,8 @@ ANCHOR = 6
 #: Phrases of a block, on average, and different phrases of one anchor that a block may hold.
 BLOCK = 8192
 WIDE = 4096
+#: Bytes a word up to which a phrase travels as text, which compresses, and not as word hashes.
+LETTERS = 12
 
 #: Phrase found elsewhere as a whole; phrase to factor; whole phrase that also stands for its copies as reference.
 FULL, BOUNDARY, REFERENCE = 1, 2, 3
@@ -105,9 +107,13 @@ class Parse:
     def windows(self, start: np.ndarray, width: int) -> np.ndarray:
         return W.mix(self._joined(start, width))
 
+    def raw(self) -> bytes:
+        if not hasattr(self, "_raw"):
+            self._raw = self.buf.tobytes()
+        return self._raw
+
     def words(self, d: int) -> list[bytes]:
-        raw = self.buf.tobytes() if not hasattr(self, "_raw") else self._raw
-        self._raw = raw
+        raw = self.raw()
         a, b = self.bounds[d], self.bounds[d + 1]
         return [raw[i:j] for i, j in zip(self.starts[a:b].tolist(), self.ends[a:b].tolist())]
 
@@ -154,8 +160,8 @@ def phrases(docs: DataFrame, width: int) -> DataFrame:
 def _checked(batches: Iterator[pa.RecordBatch], width: int, wide: bool) -> Iterator[tuple]:
     """Parsed chunks of pending rows: parse, phrases to look at, their kinds and a picker of row columns."""
     for batch in batches:
-        marks = batch.column(4).to_pylist()
-        for offset, raw in W.chunks(batch.column(3).to_pylist()):
+        marks = batch.column(3).to_pylist()
+        for offset, raw in W.chunks(batch.column(2).to_pylist()):
             parse = Parse(raw, width)
             kind = np.zeros(len(parse.low), np.int8)
             for d in range(len(raw)):
@@ -167,42 +173,53 @@ def _checked(batches: Iterator[pa.RecordBatch], width: int, wide: bool) -> Itera
 
 
 def _sequences(pending: DataFrame, width: int) -> DataFrame:
-    """Phrases to factor and their reference: anchor, place of the anchor, hashes of the words."""
+    """Phrases to factor and their reference: anchor, place of the anchor, and text, or word hashes where the words are long."""
     arrow = pa.schema(
         [
             ("anchor", pa.int64()),
             ("doc_id", pa.int64()),
             ("text_key", pa.int64()),
-            ("copies", pa.int64()),
             ("first", pa.int64()),
             ("inside", pa.int32()),
             ("asked", pa.bool_()),
+            ("phrase", pa.binary()),
             ("words", pa.list_(pa.int64())),
         ]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for parse, checked, kind, pick in _checked(batches, width, wide=False):
-            low = parse.low[checked]
-            sizes = parse.high[checked] - low + width
-            ends = np.concatenate([[0], np.cumsum(sizes)])
-            words = parse.hashed[np.arange(ends[-1]) + np.repeat(low - ends[:-1], sizes)]
+            low, high = parse.low[checked], parse.high[checked] + width
+            start, end = parse.starts[low], parse.ends[high - 1]
+            plain = end - start <= LETTERS * (high - low)
+            raw = parse.raw()
+            texts = [raw[a:b] if short else None for a, b, short in zip(start.tolist(), end.tolist(), plain.tolist())]
+            hashed = [
+                None if short else parse.hashed[a:b].view(np.int64)
+                for a, b, short in zip(low.tolist(), high.tolist(), plain.tolist())
+            ]
             doc = np.searchsorted(parse.bounds, low, "right") - 1
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(parse.anchor[checked].view(np.int64)),
-                    *(pick(column, doc) for column in (0, 1, 2)),
+                    pick(0, doc),
+                    pick(1, doc),
                     pa.array(low - parse.bounds[doc]),
                     pa.array(parse.inside[checked].astype(np.int32)),
                     pa.array(kind[checked] == BOUNDARY),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words.view(np.int64))),
+                    pa.array(texts, pa.binary()),
+                    pa.array(hashed, pa.list_(pa.int64())),
                 ],
                 schema=arrow,
             )
 
-    return pending.select("doc_id", "text_key", "copies", "text", "marks").mapInArrow(
-        run,
-        "anchor long, doc_id long, text_key long, copies long, first long, inside int, asked boolean, words array<long>",
+    return (
+        pending.where(F.exists("marks", lambda m: ~m.wide & (m.kind >= BOUNDARY)))
+        .select("doc_id", "text_key", "text", "marks")
+        .mapInArrow(
+            run,
+            "anchor long, doc_id long, text_key long, first long, inside int, asked boolean, phrase binary, words array<long>",
+        )
     )
 
 
@@ -260,14 +277,18 @@ def greedy_factors(
     return tuple(np.concatenate(part) for part in zip(*found))
 
 
-def _factors(sequences: DataFrame, width: int, block: int) -> DataFrame:
+def _factors(sequences: DataFrame, width: int, blocks: int) -> DataFrame:
     """doc_id, text_key, start, length of the factors found in the blocks of all anchors."""
     arrow = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int64()), ("length", pa.int64())])
 
     def run(held: pa.Table) -> pa.Table:
         held = held.combine_chunks()
-        sizes = pc.list_value_length(held["words"]).to_numpy().astype(np.int64)
-        words = pc.list_flatten(held["words"]).to_numpy().view(_U)
+        buf, starts, ends, bounds = W.split([text or b"" for text in held["phrase"].to_pylist()], WORDS, lower=False)
+        lengths = pc.fill_null(pc.list_value_length(held["words"]), 0).to_numpy().astype(np.int64)
+        sizes = np.diff(bounds) + lengths
+        words, listed = np.empty(sizes.sum(), _U), np.repeat(lengths > 0, sizes)
+        words[~listed] = W.hashes(buf, starts, ends)
+        words[listed] = pc.list_flatten(held["words"]).to_numpy().view(_U)
         anchor, inside, asked = (held[name].to_numpy() for name in ("anchor", "inside", "asked"))
         row, start, length = greedy_factors(anchor, inside.astype(np.int64), sizes, words, asked, width)
         pick = pa.array(row)
@@ -276,11 +297,7 @@ def _factors(sequences: DataFrame, width: int, block: int) -> DataFrame:
             schema=arrow,
         )
 
-    blocks = max(1, -(-sequences.count() // block))
-    # Rows that repeat id and text hold the same reference phrases; one of them is enough.
-    once = sequences.where("copies > 1").dropDuplicates(["doc_id", "text_key", "first"])
-    dealt = sequences.where("copies = 1").unionByName(once)
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("anchor"), F.lit(blocks))).drop("copies")
+    dealt = sequences.withColumn("block", F.pmod(F.xxhash64("anchor"), F.lit(blocks)))
     return dealt.groupBy("block").applyInArrow(run, "doc_id long, text_key long, start long, length long")
 
 
@@ -317,7 +334,7 @@ def _wide_windows(pending: DataFrame, width: int) -> DataFrame:
 
     return (
         pending.where(F.exists("marks", lambda m: m.wide & (m.kind >= BOUNDARY)))
-        .select("doc_id", "text_key", "copies", "text", "marks")
+        .select("doc_id", "text_key", "text", "marks")
         .mapInArrow(run, "anchor long, window long, doc_id long, text_key long, start long, asked boolean")
     )
 
@@ -422,15 +439,18 @@ def repeated_passages(
         plain.alias("d").join(marks.alias("m"), _same_row("d", "m")).select("d.*", "m.marks", "m.copies"), "pending"
     )
 
-    sequences = settle(_sequences(pending, width), "sequences")
+    # Rows that repeat id and text hold the same reference phrases; one of them is enough.
+    once = _sequences(pending.where("copies > 1"), width).dropDuplicates(["doc_id", "text_key", "first"])
+    sequences = _sequences(pending.where("copies = 1"), width).unionByName(once)
+    blocks = max(1, -(-index.where("mixed AND NOT wide").count() // block))
     windows = settle(_wide_windows(pending, width), "windows")
     keys = ["anchor", "window"]
     twice = settle(windows.groupBy(keys).agg(F.count("*").alias("n")).where("n > 1").select(keys), "twice")
     single = windows.where("asked").join(twice, keys).select("doc_id", "text_key", "start")
-    found = _factors(sequences, width, block).unionByName(single.withColumn("length", F.lit(width).cast("long")))
+    found = _factors(sequences, width, blocks).unionByName(single.withColumn("length", F.lit(width).cast("long")))
     repeats = found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "length")).alias("repeats"))
     repeats = settle(repeats, "repeats")
-    release(sequences, windows, twice, index)
+    release(windows, twice, index)
     cleaned = _cleaned(
         pending.alias("d").join(repeats.alias("m"), _same_row("d", "m"), "left").select("d.*", "m.repeats"), width
     ).select(

@@ -193,6 +193,18 @@ def test_copies_of_a_reference(spark):
     assert got == [(0, 70, 70)] * 5 + [(1, 70, 70)] * 30 + [(2, 70, 40), (3, 2, 0)]
 
 
+def test_passages_of_long_words(spark):
+    """Phrases of long words travel as hashes and meet phrases that travel as text."""
+    words = [f"p{i}" if i % 9 else f"p{i}" + "y" * 150 for i in range(90)]
+    texts = [words[:45] + [f"z{k}"] * 5 + words[50:] for k in range(3)] + [["x"] * 3 + words[1:40], words[40:] + ["u" * 5000]]
+    rows = list(enumerate(" ".join(t) for t in texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for width in (35, 10):
+        got = sorted(substrings.repeated_passages(docs, width).collect(), key=lambda r: r.doc_id)
+        ours = [(r.doc_id, r.n_words, r.n_removed, [x for s in r.spans for x in range(s.start, s.end)]) for r in got]
+        assert ours == _passages(rows, width), width
+
+
 def test_passages_edges(spark):
     long = " ".join(f"x{i}" for i in range(50))
     rows = [(1, long, 0), (1, long, 0), (None, "short text", 0), (None, None, 0), (3, "", 0)]
