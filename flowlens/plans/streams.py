@@ -19,6 +19,8 @@ DELAY_US = v.HOUR_US
 SPLIT = "2024-01-16"
 # Packets of a micro-batch, about.
 FILE_ROWS = 2_000_000
+# Bytes of a row group of such a file, and of the part of it that a task reads at least.
+GROUP_BYTES = 1 << 20
 
 
 def _packets(spark, sf):
@@ -69,7 +71,8 @@ def _summarized(windows):
 def _arrivals(spark, sf):
     """The packets as a stream of files in the order of time, one file a micro-batch.
 
-    Files hold about FILE_ROWS packets, at least five files are made.
+    Files hold about FILE_ROWS packets, at least five files are made. They hold many small row groups,
+    so the tasks of a micro-batch share its one file.
     """
     events = v.table(spark, sf, "events")
     files = max(5, -(-events.count() // FILE_ROWS))
@@ -78,7 +81,9 @@ def _arrivals(spark, sf):
     stored = write_table(ranked, scratch_path(spark, "ranked"), ["part"])
     # Files are taken in the order they were written in; parts of one job may get any order.
     for part in range(files):
-        stored.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(folder)
+        stored.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").option(
+            "parquet.block.size", GROUP_BYTES
+        ).parquet(folder)
     return v.events_to_packets(st.read_stream(spark, folder, v.LAYOUTS["events"], files_per_trigger=1))
 
 
@@ -153,9 +158,11 @@ def _window_features(rows, sequence):
 
 
 def _sequence_model(spark, sf):
-    flows = v.flows(spark, sf, text=False, stored=True)
+    flows = v.flows(spark, sf, text=False)
     up = F.when(F.col("BYTES") >= F.col("BYTES_REV"), "up").otherwise("down")
-    rows = _window_features(flows.withColumn("APP", up), "PPI")
+    rows = _window_features(flows.withColumn("APP", up), "PPI").select("APP", *_WINDOW_FEATURES)
+    # Written without the columns that the tree does not look at, which then are not assembled either.
+    rows = write_table(rows, scratch_path(spark, "learn"))
     return models.train(rows, models.decision_tree(min_rows=5, depth=4), features=_WINDOW_FEATURES)
 
 

@@ -90,7 +90,7 @@ class FlowExport:
         tables, schemas = self.tables, self._schemas
         came = batch.select(
             *self.keys, "ts_us", "packet_id", F.col("direction").cast("int").alias("direction"), F.col("size").cast("long").alias("size")
-        ).filter(F.col("ts_us").isNotNull())
+        ).filter(F.col("ts_us").isNotNull()).persist()
         before = tables.before("clock", batch_id, schemas["clock"]).first()
         old = before["newest"] if before else None
         newest = max((t for t in (old, came.agg(F.max("ts_us")).first()[0]) if t is not None), default=None)
@@ -102,6 +102,7 @@ class FlowExport:
         due = F.lit(False) if watermark is None else F.col("ts_us") <= watermark
         tables.write(held.filter(~due), "waiting", batch_id)
         self._advance(held.filter(due), batch_id, watermark)
+        came.unpersist()
         for name in ("clock", "waiting", "open"):
             tables.forget(name, batch_id)
         self._batches = batch_id + 1
@@ -182,7 +183,7 @@ class CountWindows:
         came = batch.select(
             *keys, F.lit(length).alias("at"), "ts_us", "packet_id",
             F.col("direction").cast("int").alias("direction"), F.col("size").cast("long").alias("size"),
-        )
+        ).persist()
         rows = OrderedRows.of(rest.unionByName(came), keys, ["at", *ORDER], self.rows_per_task)
         rows = rows.with_neighbours({"_prev_us": "ts_us"}).with_running(sums={"_row": F.lit(1)})
         place = F.col("_row") - 1
@@ -221,6 +222,7 @@ class CountWindows:
         windows = tables.write(numbered, "windows", batch_id)
         tables.write(moved, "held", batch_id)
         groups.unpersist()
+        came.unpersist()
         tables.forget("held", batch_id)
         return windows
 

@@ -1,10 +1,13 @@
 """Micro-batch windows and flow export against the batch operators: repeated batches, hot keys, late packets."""
 
+import glob
+
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from flowlens.operators import packets as pk
-from flowlens.plans import views as v
+from flowlens.plans import streams, views as v
 from flowlens.session import scratch_path
 from flowlens.streaming import batches as B
 
@@ -111,3 +114,29 @@ def test_scores_and_error_rows_of_a_repeated_batch(spark, packets):
     assert _rows(scores.table("errors"), "flow_key", "window_no") == _rows(total.filter(broken), "flow_key", "window_no")
     assert _rows(scores.table("scores"), "flow_key", "window_no") == _rows(total.filter(~broken), "flow_key", "window_no")
     assert {r.label for r in scores.table("errors").collect()} == {"API_ERROR"}
+
+
+@pytest.mark.parametrize("make", ["windows", "export"])
+def test_packets_of_a_batch_are_computed_once(spark, packets, make):
+    path = scratch_path(spark, make)
+    state = B.CountWindows(spark, path, ["flow_key"], 10) if make == "windows" else B.FlowExport(spark, path, ["flow_key"], DAY, 3 * DAY, 1000)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(size):
+        seen.add(1)
+        return size
+
+    some = packets.limit(300).cache()
+    assert some.count() == 300
+    state.handle(some.withColumn("size", F.udf(counted, "long")("size")), 0)
+    assert seen.value == 300
+
+
+def test_tasks_share_the_file_of_a_batch(spark, sf, monkeypatch):
+    monkeypatch.setattr(streams, "GROUP_BYTES", 1024)
+    made = []
+    monkeypatch.setattr(streams, "scratch_path", lambda s, name: made.append(scratch_path(s, name)) or made[-1])
+    arrivals = streams._arrivals(spark, sf)
+    assert arrivals.isStreaming
+    files = glob.glob(f"{next(m for m in made if 'arrivals' in m)}/*.parquet")
+    assert len(files) == 5 and all(pq.ParquetFile(f).num_row_groups > 1 for f in files)
