@@ -9,7 +9,6 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
-    MultilayerPerceptronClassifier,
     OneVsRest,
 )
 from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel, VectorAssembler
@@ -18,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowlens.operators import metrics
 from flowlens.operators.encode import Dictionary
+from flowlens.operators.perceptron import PerceptronClassifier
 from flowlens.operators.stages import ForestClassifier
 from flowlens.operators.stats import Normalization, class_weights, with_class_weight
 from flowlens.schema import FEATURE_COLUMNS, LABEL
@@ -66,7 +66,7 @@ def boosting(
 
 def perceptron(inputs: int, classes: int, hidden: Sequence[int] = (128,), rounds: int = 100, seed: int = SEED):
     """Network over flattened sequences, tabular values and the version indicator."""
-    return MultilayerPerceptronClassifier(layers=[inputs, *hidden, classes], maxIter=rounds, seed=seed)
+    return PerceptronClassifier(layers=[inputs, *hidden, classes], maxIter=rounds, seed=seed)
 
 
 def train(

@@ -29,6 +29,8 @@ SEQUENCE_INPUTS = 3 * SEQUENCE_LENGTH
 SLICE = 4096
 #: Bytes of partial sums that meet in one task.
 MERGE_BYTES = 64 << 20
+#: Bytes of partial sums that the driver adds up itself.
+DRIVER_BYTES = 8 << 20
 #: Bytes of parameters that are sent to the tasks.
 MODEL_BYTES = 256 << 20
 BETA_1, BETA_2, EPSILON = 0.9, 0.999, 1e-8
@@ -234,6 +236,37 @@ def _matrix(values: pa.Array, width: int) -> np.ndarray:
     return flat.reshape(len(values), width).astype(np.float64)
 
 
+def summed(rows: DataFrame, parts: int, size: int, of_batch) -> np.ndarray:
+    """The `size` sums that `of_batch` gives for each batch of the rows, added up in the order of the `parts` tasks."""
+    block = max(256, min(size, MERGE_BYTES // (8 * parts)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                total += of_batch(whole.slice(at, SLICE))
+        cuts = range(0, size, block)
+        part = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(len(cuts)), pa.int32()), pa.array([part] * len(cuts), pa.int32()),
+             pa.array([total[c : c + block].tobytes() for c in cuts], pa.binary())], names=["block", "part", "total"])
+
+    def added(totals: list[tuple[int, bytes]]) -> np.ndarray:
+        return sum(np.frombuffer(total) for _, total in sorted(totals))
+
+    def merge(table: pa.Table) -> pa.Table:
+        merged = added(zip(table.column("part").to_pylist(), table.column("total").to_pylist()))
+        return pa.table({"block": table.column("block").slice(0, 1), "total": pa.array([merged.tobytes()], pa.binary())})
+
+    partial = rows.mapInArrow(run, "block int, part int, total binary")
+    if 8 * parts * size > DRIVER_BYTES:
+        partial = partial.groupBy("block").applyInArrow(merge, "block int, total binary").withColumn("part", F.lit(0))
+    blocks: dict[int, list] = {}
+    for r in partial.collect():
+        blocks.setdefault(r["block"], []).append((r["part"], r["total"]))
+    return np.concatenate([added(blocks[b]) for b in sorted(blocks)]) if blocks else np.zeros(size)
+
+
 class _Rows:
     """The stored rows (key, y, valid, x) and the aggregations over them."""
 
@@ -243,28 +276,7 @@ class _Rows:
 
     def _sums(self, size: int, of_batch) -> np.ndarray:
         """`of_batch` (keys, y, valid, inputs) gives `size` sums; they are added up in the order of the tasks."""
-        block = max(256, min(size, MERGE_BYTES // (8 * self.parts)))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(size)
-            for whole in batches:
-                for at in range(0, whole.num_rows, SLICE):
-                    total += of_batch(whole.slice(at, SLICE))
-            cuts = range(0, size, block)
-            part = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(len(cuts)), pa.int32()), pa.array([part] * len(cuts), pa.int32()),
-                 pa.array([total[c : c + block].tobytes() for c in cuts], pa.binary())], names=["block", "part", "total"])
-
-        def merge(table: pa.Table) -> pa.Table:
-            rows = sorted(zip(table.column("part").to_pylist(), table.column("total").to_pylist()))
-            merged = sum(np.frombuffer(total) for _, total in rows)
-            return pa.table({"block": table.column("block").slice(0, 1), "total": pa.array([merged.tobytes()], pa.binary())})
-
-        partial = self.rows.mapInArrow(run, "block int, part int, total binary")
-        if self.parts > 1:
-            partial = partial.groupBy("block").applyInArrow(merge, "block int, total binary")
-        return np.concatenate([np.frombuffer(r["total"]) for r in sorted(partial.collect(), key=lambda r: r["block"])])
+        return summed(self.rows, self.parts, size, of_batch)
 
     def gradient(self, parameters: Parameters, epoch: int, step: int) -> tuple[float, np.ndarray]:
         """Weighted mean loss of a step's rows and its gradient."""
